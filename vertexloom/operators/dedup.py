@@ -12,6 +12,9 @@ from dataclasses import dataclass, fields
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import fold_column
+from ..sources.lineage import cut
+from .mutate import delete
 from .traverse import actions, entities, relationships
 
 POLICIES = ("rewire_and_deduplicate", "rewire_only", "skip", "fail")
@@ -120,7 +123,7 @@ def _touched(nodes: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame
 
 def report(nodes: DataFrame, key: Column, policy: str = "rewire_and_deduplicate", prefer: list[Column] | None = None) -> DataFrame:
     """One row of the counts of a ``DedupReport``."""
-    mapping = replacements(nodes, key, prefer)
+    mapping = cut(replacements(nodes, key, prefer))
     marked = lambda df, **c: df.agg(*(x.alias(n) for n, x in c.items()))
     base = marked(keyed(nodes, key), scanned_entities=F.count(F.lit(1)), keyed_entities=F.count("key"), unkeyed_entities=F.count_if(F.col("key").isNull()))
     groups = marked(mapping, duplicate_groups=F.count_distinct("survivor"), merged_entities=F.count(F.lit(1)))
@@ -163,7 +166,7 @@ def deduplicate(nodes: DataFrame, key: Column, *, policy: str = "rewire_and_dedu
         raise ValueError(policy)
     if unkeyed == "fail" and (n := keyed(nodes, key).where("key is null").count()):
         raise UnkeyedEntities(f"{n} entities have no key")
-    mapping = replacements(nodes, key, prefer)
+    mapping = cut(replacements(nodes, key, prefer))  # everything below joins with it
     touched_r, touched_a = _touched(nodes, mapping)
     if policy == "fail":
         for touched in (touched_r, touched_a):
@@ -171,8 +174,6 @@ def deduplicate(nodes: DataFrame, key: Column, *, policy: str = "rewire_and_dedu
                 raise UnresolvedLink(found[0])
     meta = merged_metadata(nodes, mapping).drop("copied").select("id", *(F.col(c).alias(f"m_{c}") for c in ("props", "tags", "groups")))
     out = nodes.join(meta, "id", "left")
-    from ..functions.text import fold_column
-
     for c in ("props", "tags", "groups"):
         out = out.withColumn(c, F.coalesce(f"m_{c}", c)).drop(f"m_{c}")
     for c in ("tags", "groups"):
@@ -194,6 +195,4 @@ def deduplicate(nodes: DataFrame, key: Column, *, policy: str = "rewire_and_dedu
 
 def _without(nodes: DataFrame, ids: DataFrame) -> DataFrame:
     """Deleted, with the half-edges still attached to the duplicates."""
-    from .mutate import delete
-
-    return delete(nodes, ids).select(nodes.columns)
+    return delete(cut(nodes), ids).select(nodes.columns)

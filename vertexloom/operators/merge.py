@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fold_column
 from ..sources.ingest import property_
+from ..sources.lineage import cut
 from .traverse import actions, entities, relationships
 
 
@@ -53,7 +54,7 @@ def merge(primary: DataFrame, secondary: DataFrame, fields: dict[str, str], sour
     imported = src.withColumn("props", F.concat(stays, F.array(property_("source", tag, "string")), unmapped)).withColumn("id", F.col("new_id")).select(primary.columns)
     mapped = src.where("key is not null").groupBy("type", "key").agg(F.max_by("new_id", "id").alias("target"))
     # entities that share a logical id share the target; without one there is none
-    ends = src.join(mapped, ["type", "key"], "left").select(F.col("id").alias("end"), "target")
+    ends = cut(src.join(mapped, ["type", "key"], "left").select(F.col("id").alias("end"), "target"))
 
     r = relationships(secondary).where("subject_id is not null").select("id", "type", "subject_id", "object_id")
     known = ends.select("end").withColumnRenamed("end", "subject_id")
