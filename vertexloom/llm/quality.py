@@ -63,10 +63,11 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, int]:
         docs.append(d)
     for back in REPEATS:
         if len(w.hashes) > back:
-            same = (w.hashes[back:] == w.hashes[:-back]) & (w.doc[back:] == w.doc[:-back])
+            within = w.doc[back:] == w.doc[:-back]
+            same = (w.hashes[back:] == w.hashes[:-back])[within]
             # said whether or not it repeats, so that its share in a text counts
             buckets.append(mix(same.astype(U) + U(2 * back)))
-            docs.append(w.doc[back:])
+            docs.append(w.doc[back:][within])
     return (np.concatenate(buckets) & U(BUCKETS - 1)).astype(np.int64), np.concatenate(docs), len(texts)
 
 
