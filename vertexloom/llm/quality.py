@@ -38,19 +38,24 @@ def held_out(doc_id: Column) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, chars: int) -> pd.DataFrame:
     """``text, y`` of at most ``rows`` labelled documents outside the held-out
     fifth, in the order of a hash of doc_id, as far as their texts have at
-    most ``chars`` characters together.  The bound on rows holds before texts
-    are looked up, so what is broadcast and collected does not grow."""
+    most ``chars`` characters together.  Both bounds hold before texts leave the executors, so
+    what is broadcast and collected does not grow.  A repeated row counts once."""
     usable = labels.where(~held_out(F.col("doc_id")) & F.col(label).isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
     order = F.xxhash64("doc_id", F.lit(label))
     chosen = usable.withColumn("_o", order).orderBy("_o", "doc_id").limit(rows)
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    sizes = found.select("doc_id", "_o", F.length("text").alias("size"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "utf-8")).alias("crc"), "text", "y").orderBy("_o", "doc_id", "crc").limit(rows)
-    kept, total = [], 0
-    for r in sizes.toLocalIterator():
-        if total + (r["size"] or 0) <= chars:
-            total += r["size"] or 0
-            kept.append((r["text"], r["y"]))
-    return pd.DataFrame(kept, columns=["text", "y"])
+    crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "utf-8")).alias("crc")
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.length("text"), F.lit(0)).alias("size"), crc).join(F.broadcast(chosen), "doc_id")
+    picked, total = {}, 0
+    for r in sized.dropDuplicates(["doc_id", "crc"]).orderBy("_o", "doc_id", "crc").limit(rows).collect():
+        if total + r["size"] <= chars:
+            total += r["size"]
+            picked[r["doc_id"], r["crc"]] = r["y"]
+    if not picked:
+        return pd.DataFrame({"text": [], "y": []})
+    wanted = docs.sparkSession.createDataFrame([(*k, i, y) for i, (k, y) in enumerate(picked.items())], "doc_id long, crc long, place long, y int")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", crc).join(F.broadcast(wanted), ["doc_id", "crc"])
+    kept = {r["place"]: (r["text"], r["y"]) for r in texts.select("place", "text", "y").dropDuplicates(["place"]).collect()}
+    return pd.DataFrame([kept[i] for i in sorted(kept)], columns=["text", "y"])
 
 
 def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, int]:
