@@ -10,14 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.lineage import cut
 from .traverse import actions, relationships
 
 
 def _details(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """References of the nodes of ``roots(root, id)`` to their own details."""
-    own = roots.join(nodes.select("id", "groups", "props", "tags"), "id")
+    own = roots.join(nodes.select("id", "groups", "names", "tags"), "id")
     parts = []
-    for name, items in (("groupSet", "groups"), ("propertySet", F.transform("props", lambda p: p["name"])), ("tagSet", "tags")):
+    for name, items in (("groupSet", "groups"), ("propertySet", "names"), ("tagSet", "tags")):
         found = own.select("root", F.col("id").alias("source"), F.lit(name).alias("relationship"), F.explode_outer(items).alias("destination"))
         parts.append(found.withColumn("state", F.when(F.col("destination").isNull(), "absent").otherwise("materialized")))
     return parts[0].union(parts[1]).union(parts[2])
@@ -25,6 +26,8 @@ def _details(nodes: DataFrame, roots: DataFrame) -> DataFrame:
 
 def references(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, source, relationship, destination, state) for each id of ``roots(id)``."""
+    # every branch below reads these few columns, so they are made once
+    nodes = cut(nodes.select("id", "node_class", "type", "subject_id", "object_id", "subject_ids", "object_ids", "groups", "tags", F.transform("props", lambda p: p["name"]).alias("names")))
     roots = roots.select("id").distinct()
     present = nodes.select("id", "node_class")
     rooted = roots.join(present, "id", "left")

@@ -131,9 +131,9 @@ def pred_date_le(spark, d):
     return Search(_dated(spark, d), E).where(prop("at") <= dt.datetime(1996, 6, 30)).run().select("id")
 
 
-@add("SELECT doc_id, lower(strip_accents(substr(text, 1, 40))) AS folded FROM documents")
+@add("SELECT doc_id, md5(lower(strip_accents(text))) AS folded FROM documents")
 def fold_text(spark, d):
-    return ingest.read(spark, d, "documents").select("doc_id", text.fold_column(F.substring("text", 1, 40)).alias("folded"))
+    return ingest.read(spark, d, "documents").select("doc_id", F.md5(text.fold_column(F.col("text")).cast("binary")).alias("folded"))
 
 
 @add("SELECT doc_id FROM documents WHERE lower(strip_accents(text)) LIKE '%ete%' OR lower(strip_accents(text)) LIKE 'u%'")
