@@ -1,5 +1,6 @@
 """op1 and op3 against brute force, and their odd cases."""
 
+import os
 import struct
 import zlib
 
@@ -91,3 +92,13 @@ def test_native_plans_have_no_python(spark, sf):
         plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
     assert struct.calcsize("<32sI") == 36
+
+
+def test_release_deletes_what_was_written(spark):
+    from vertexloom.llm import shared
+
+    df = shared.materialize(spark.range(3))
+    path = shared._written[-1].removeprefix("file://")
+    assert df.count() == 3 and os.path.isdir(path)
+    shared.release(spark)
+    assert not os.path.exists(path)
