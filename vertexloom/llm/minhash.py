@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, materialize, slices
+from .shared import connected_components, fresh, materialize, slices
 from .textvec import U, Words, mix, words_of
 
 GOLDEN = U(0x9E3779B97F4A7C15)
@@ -89,7 +89,7 @@ def weighted_shingles(texts: list[str | None], k: int) -> list[tuple[np.ndarray,
     return Words([words_of(t) for t in texts]).shingles(k)
 
 
-def _signer(k: int, bands: int, rows: int):
+def _signer(k: int, registers: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
@@ -97,7 +97,7 @@ def _signer(k: int, bands: int, rows: int):
                 words = [words_of(t) for t in texts[lo:hi]]
                 content = [hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=16).digest() if w else None for w in words]
                 some = [i for i, w in enumerate(words) if w]
-                signatures = prob_minhash(Words([words[i] for i in some]).shingles(k), bands * rows) if some else []
+                signatures = prob_minhash(Words([words[i] for i in some]).shingles(k), registers) if some else []
                 column: list = [None] * len(words)
                 for i, s in zip(some, signatures):
                     column[i] = s.tobytes()
@@ -110,11 +110,11 @@ def _bander(bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = len(batch)
-            s = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(n, bands, rows).astype(U)
+            s = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(n, -1)[:, : bands * rows].reshape(n, bands, rows).astype(U)
             total = np.tile(np.arange(1, bands + 1, dtype=U), (n, 1))
             for j in range(rows):
                 total = mix(total + s[:, :, j] * GOLDEN)
-            yield pa.RecordBatch.from_arrays([pa.array(total.view(np.int64).ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), bands))], names=["band", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(total.view(np.int64).ravel()), pa.array(np.tile(np.arange(bands, dtype=np.int32), n)), pa.array(np.repeat(batch.column(0).to_numpy(), bands))], names=["band", "t", "rep"])
 
     return run
 
@@ -138,13 +138,14 @@ def _verifier(k: int, threshold: float):
         kept: OrderedDict = OrderedDict()
 
         def shingles(doc, text):
-            if doc not in kept:
-                kept[doc] = weighted_shingles([text], k)[0]
+            key = doc, hash(text)  # a repeated doc_id may have several texts
+            if key not in kept:
+                kept[key] = weighted_shingles([text], k)[0]
                 if len(kept) > 64:
                     kept.popitem(last=False)
             else:
-                kept.move_to_end(doc)
-            return kept[doc]
+                kept.move_to_end(key)
+            return kept[key]
 
         for batch in batches:
             a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
@@ -154,22 +155,41 @@ def _verifier(k: int, threshold: float):
     return run
 
 
-def _block_pairs(least: float):
-    """Pairs of different components within a block whose signatures agree."""
+def _block_pairs(least: float, bands: int, rows: int, best: bool):
+    """Pairs of different components within a block whose signatures agree.
+
+    best: for each member only its likeliest such pair.  Else all of them, each
+    pair in the first band that its texts share, and nowhere else.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out_a, out_b = [], []
-            for i, j, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                items = rows.values
+            for t, i, j, members in zip(*(batch.column(c).to_pylist() for c in range(3)), batch.column(3)):
+                items = members.values
                 rep, part, side = (items.field(f).to_numpy() for f in ("rep", "component", "blk"))
                 s = np.frombuffer(b"".join(items.field("signature").to_pylist()), np.uint32).reshape(len(rep), -1)
                 right = np.flatnonzero(side == j)
+                score, partner = np.zeros(len(rep)), np.full(len(rep), -1)
                 for x in np.flatnonzero(side == i):
                     other = right[(part[right] != part[x]) & ((right > x) if i == j else True)]
-                    good = other[(s[other] == s[x]).mean(1) >= least]
-                    out_a.append(np.full(len(good), rep[x]))
-                    out_b.append(rep[good])
+                    same = s[other] == s[x]
+                    share = same.mean(1)
+                    good = share >= least
+                    same, other, share = same[good, : bands * rows], other[good], share[good]
+                    if best:
+                        better = share > score[other]
+                        score[other[better]], partner[other[better]] = share[better], x
+                        if len(other) and share.max() > score[x]:
+                            score[x], partner[x] = share.max(), other[share.argmax()]
+                        continue
+                    other = other[same.reshape(len(other), bands, rows).all(2).argmax(1) == t]
+                    out_a.append(np.full(len(other), rep[x]))
+                    out_b.append(rep[other])
+                if best:
+                    x = np.flatnonzero(partner >= 0)
+                    out_a.append(rep[x])
+                    out_b.append(rep[partner[x]])
             a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (out_a, out_b))
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
 
@@ -183,22 +203,25 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> D
     return both.mapInArrow(_verifier(k, threshold), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, bands: int = 25, rows: int = 5, slack: float = 0.16, block: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, bands: int = 25, rows: int = 5, registers: int = 256, slack: float = 0.08, block: int = 512, broadcast_ids: int = 2_000_000) -> DataFrame:
     """``doc_id, class_id, kept`` for each row of ``docs``.
 
     A class is a set of documents linked by pairs with J_P >= threshold that
     meet in a band; class_id is its smallest doc_id, the one that is kept.
-    bands x rows registers: a pair at J_P 0.8 meets in some band with
-    probability 0.99995.  slack: pairs whose signatures agree in less than
-    threshold - slack are not verified (about 4.5 standard deviations).
-    block: most rows of one side of a block comparison.
+    The first bands x rows registers make the bands: a pair at J_P 0.8 meets in
+    some band with probability 0.99995.  slack: pairs whose signatures agree in
+    less than threshold - slack of all registers are not verified (3.2 standard
+    deviations at J_P 0.8).  block: most rows of one side of a block
+    comparison.  broadcast_ids: documents to verify are picked out of ``docs``
+    by a broadcast of their ids up to this many, beyond it by a shuffle join.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = materialize(source.mapInArrow(_signer(k, bands, rows), "doc_id long, content binary, signature binary"))
+    signed = materialize(source.mapInArrow(_signer(k, registers), "doc_id long, content binary, signature binary"))
     usable = signed.where("content is not null and doc_id is not null")
-    groups = materialize(usable.groupBy("content").agg(F.min("doc_id").alias("rep")))
-    reps = materialize(usable.join(groups.withColumnRenamed("rep", "doc_id"), ["content", "doc_id"]).groupBy("doc_id", "content").agg(F.first("signature").alias("signature")).select(F.col("doc_id").alias("rep"), "content", "signature"))
-    banded = reps.select("rep", "signature").mapInArrow(_bander(bands, rows), "band long, rep long").distinct()
+    # equal content has equal signatures
+    reps = materialize(usable.groupBy("content").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")))
+    groups = reps.select("content", "rep")
+    banded = reps.select("rep", "signature").mapInArrow(_bander(bands, rows), "band long, t int, rep long").distinct()
     leaders = banded.groupBy("band").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1")
     members = materialize(banded.join(leaders, "band"))
     stars = members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
@@ -208,30 +231,45 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, band
 
     def text_of(pairs: DataFrame) -> DataFrame:
         # a repeated doc_id's text is the one whose content its signature is of
-        needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+        needed = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+        if needed.count() <= broadcast_ids:
+            needed = F.broadcast(needed)
         return materialize(source.join(needed, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text").dropDuplicates(["rep", "text"]))
 
     links = materialize(_verified(likely, text_of(likely), k, threshold))
+    tested = likely
     component = materialize(connected_components(links))
 
-    # What is still apart within a bucket of three or more (a bucket of two is decided).
-    placed = members.where("size > 2").join(component.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", "size", F.coalesce("component", "rep").alias("component"))
-    mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
-    open_ = placed.join(mixed, "band").withColumn("parts", F.ceil(F.col("size") / block).cast("int")).withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    open_ = open_.join(reps.select("rep", "signature"), "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    blocks = open_.groupBy("band", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j")).agg(F.collect_list(F.struct("rep", "component", "blk", "signature")).alias("rows"))
-    rest = materialize(blocks.select("i", "j", "rows").mapInArrow(_block_pairs(threshold - slack), "a long, b long").distinct().join(likely, ["a", "b"], "left_anti"))
-    more = materialize(_verified(rest, text_of(rest), k, threshold))
-    if not more.isEmpty():
-        component = connected_components(links.union(more))
+    # What is still apart within a bucket of three or more (a bucket of two is
+    # decided): first each member's likeliest pairs, which merge most of a large
+    # group, and then every pair that is left.
+    for best in (True, True, False):
+        placed = members.where("size > 2").join(component.withColumnRenamed("node", "rep"), "rep", "left").select("band", "t", "rep", "size", F.coalesce("component", "rep").alias("component"))
+        mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
+        open_ = placed.join(mixed, "band").withColumn("parts", F.ceil(F.col("size") / block).cast("int")).withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+        open_ = open_.join(reps.select("rep", "signature"), "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        blocks = open_.groupBy("band", "t", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j")).agg(F.collect_list(F.struct("rep", "component", "blk", "signature")).alias("rows"))
+        found = blocks.select("t", "i", "j", "rows").mapInArrow(_block_pairs(threshold - slack, bands, rows, best), "a long, b long").distinct()
+        found = materialize(found.join(tested, ["a", "b"], "left_anti"))
+        more = materialize(_verified(found, text_of(found), k, threshold))
+        tested = materialize(tested.union(found))
+        if not more.isEmpty():
+            links = materialize(links.union(more))
+            component = materialize(connected_components(links))
 
     nodes = groups.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("content", F.coalesce("component", "rep").alias("class"))
     return signed.select("doc_id", "content").join(nodes, "content", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")).alias("class_id")).withColumn("kept", F.col("class_id").isNull() | (F.col("class_id") == F.col("doc_id")))
 
 
-def keep_one(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, classes: DataFrame, *, broadcast_ids: int = 2_000_000) -> DataFrame:
     """``docs`` without the documents that are not their class's first; rows
     that repeat a kept doc_id go too, rows with a null doc_id stay."""
-    kept = classes.where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    classes = materialize(classes)
+    (name,) = fresh(docs, "_gone")
+    gone = classes.where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    if gone.count() <= broadcast_ids:
+        gone = F.broadcast(gone)
+    left = docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
+    if classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return left
+    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
