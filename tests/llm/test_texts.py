@@ -60,6 +60,20 @@ def test_media_facts(spark, sf, odd, broadcast_rows):
     assert media.media_facts(docs.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("broadcast_rows", [0, 500_000])
+def test_every_document_is_rebuilt_from_the_tables(spark, sf, odd, broadcast_rows):
+    docs = odd.select("doc_id", "text").unionByName(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(80))
+    stored = media.store_media(docs, broadcast_rows=broadcast_rows)
+    common = {bytes(r["digest"]): bytes(r["bytes"]) for r in stored["chunks"].collect()}
+    got = []
+    for r in stored["rows"].collect():
+        own = {bytes(c["digest"]): bytes(c["bytes"]) for c in r["own"]}
+        assert not own.keys() & common.keys() and {bytes(d) for d in r["refs"] or ()} <= common.keys()
+        assert bytes(r["sha"]) == hashlib.sha256(bytes(r["form"])).digest()
+        got.append((r["doc_id"] or -1, media.rebuild(bytes(r["form"]), (common | own).get)[: r["n_bytes"]]))
+    assert sorted(got) == sorted((r["doc_id"] or -1, (r["text"] or "").encode()) for r in docs.collect())
+
+
 # --- secrets -------------------------------------------------------------------
 def brute_base(text):
     found = []

@@ -9,8 +9,10 @@ chunk table, and documents that hold such chunks are put together again by
 joining their lists with it.  Whatever is read back is checked against its
 digests before features are taken.
 
-Layout and size: only digests are shuffled for all chunks; bytes move for
-documents with repeated chunks alone.  The set of repeated digests goes to the
+Layout and size: every document's form and own chunks are written with its
+row, and facts come from a second pass over the rows as read again.  Only
+digests are shuffled for all chunks; bytes move for documents with repeated
+chunks alone.  The set of repeated digests goes to the
 tasks by broadcast while it has at most ``broadcast_rows`` rows, and beyond
 that documents learn their repeated chunks by a join.
 
@@ -129,70 +131,89 @@ def _digests(unit: int):
     return run
 
 
-def _alone(unit: int, repeated):
-    """Rows of documents; those without repeated chunks are read back and
-    described here, the others leave their stored form and own chunks."""
+def _rows(unit: int, repeated):
+    """What is stored for each document: its form, and in its row the chunks
+    that occur nowhere else; ``refs`` are the digests of the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told = repeated.value if repeated is not None else None
         for batch in batches:
-            doc_ids, texts = batch.column(0), batch.column(1)
-            flags = batch.column(2) if told is None else [None] * len(batch)
-            out = {k: [] for k in ("n_bytes", "form", "sha", "own", "shared", *FACTS)}
-            for text, marks in zip(texts, flags):
-                n, payload = payload_of(text.as_py(), unit)
-                digests, parts = chunk_list(payload)
+            out = {k: [] for k in ("n_bytes", "sha", "form", "own", "refs")}
+            for n, digests, parts, common in _parted(batch, unit, repeated):
                 form = stored_form(digests, list(map(len, parts)))
-                common = told if told is not None else set(marks.as_py() or ())
-                shared = {d: p for d, p in zip(digests, parts) if d in common}
-                own = {d: p for d, p in zip(digests, parts) if d not in shared}
+                own = {d: p for d, p in zip(digests, parts) if d not in common}
+                refs = [d for d in dict.fromkeys(digests) if d in common]
                 out["n_bytes"].append(n)
-                facts = [None] * len(FACTS) if shared else described(form, rebuild(form, own.get))
-                out["form"].append(form if shared else None)
-                out["sha"].append(hashlib.sha256(form).digest() if shared else None)
-                out["own"].append([{"digest": d, "bytes": p} for d, p in own.items()] if shared else None)
-                out["shared"].append([{"digest": d, "bytes": p} for d, p in shared.items()] if shared else None)
-                for name, value in zip(FACTS, facts):
-                    out[name].append(value)
+                out["sha"].append(hashlib.sha256(form).digest())
+                out["form"].append(form)
+                out["own"].append([{"digest": d, "bytes": p} for d, p in own.items()])
+                out["refs"].append(refs or None)
             chunks = pa.list_(pa.struct([("digest", pa.binary()), ("bytes", pa.binary())]))
-            kinds = [pa.int64(), pa.binary(), pa.binary(), chunks, chunks, *FACT_ARROW]
-            yield pa.RecordBatch.from_arrays([doc_ids.cast(pa.int64()), *(pa.array(v, k) for v, k in zip(out.values(), kinds))], names=["doc_id", *out])
+            kinds = [pa.int64(), pa.binary(), pa.binary(), chunks, pa.list_(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(v, k) for v, k in zip(out.values(), kinds))], names=["doc_id", *out])
 
     return run
 
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        facts = []
-        for form, own, fetched in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
-            chunks = {c["digest"]: c["bytes"] for c in [*(own or ()), *fetched]}
-            facts.append(described(form, rebuild(form, chunks.get)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[i] for f in facts], k) for i, k in enumerate(FACT_ARROW))], names=["sha", *FACTS])
+def _repeated_chunks(unit: int, repeated):
+    """Digest and bytes of the repeated chunks, once a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {d: p for _, digests, parts, common in _parted(batch, unit, repeated) for d, p in zip(digests, parts) if d in common}
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], names=["digest", "bytes"])
+
+    return run
+
+
+def _parted(batch: pa.RecordBatch, unit: int, repeated) -> Iterator[tuple]:
+    """Bytes of each text, digests and bytes of its chunks, and a set that
+    holds the repeated ones among them (the batch's marks if none is told)."""
+    told = repeated.value if repeated is not None else None
+    marks = batch.column(2) if told is None else [None] * len(batch)
+    for text, marked in zip(batch.column(1), marks):
+        n, payload = payload_of(text.as_py(), unit)
+        yield n, *chunk_list(payload), told if told is not None else set(marked.as_py() or ())
+
+
+def _facts(kept: list[str]):
+    """``kept`` columns and the facts of the payload rebuilt from the form and
+    the chunks (own, and fetched if there is such a column) in a stored row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            facts = []
+            stored = [batch.column(i).to_pylist() for i in range(len(kept), batch.num_columns)]
+            for form, *held in zip(*stored):
+                chunks = {c["digest"]: c["bytes"] for part in held for c in part or ()}
+                facts.append(described(form, rebuild(form, chunks.get)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), *(pa.array([f[i] for f in facts], k) for i, k in enumerate(FACT_ARROW))], names=[*kept, *FACTS])
+
+    return run
 
 
 CHUNKS = "array<struct<digest: binary, bytes: binary>>"
 
 
 def store_media(docs: DataFrame, *, unit: int = 576, broadcast_rows: int = 500_000) -> dict[str, DataFrame]:
-    """Store every text of ``docs`` as chunks.
-
-    Returns ``rows`` (a row a document: doc_id, n_bytes, the facts where all
-    chunks are its own, else sha, the digest of its stored form), ``lists``
-    (the distinct stored forms with repeated chunks, with their own chunks)
-    and ``chunks`` (each repeated chunk once: digest, bytes).
+    """Store every text of ``docs`` as chunks, in tables that are written and
+    read again; they alone give every payload back.
+
+    Returns ``rows`` (a row a document: doc_id, n_bytes, sha, the digest of its
+    stored form, form, own, the chunks that occur once in the corpus, and refs,
+    the digests of its repeated chunks, null if it has none), ``lists`` (sha,
+    form, own, refs of the distinct forms with repeated chunks) and ``chunks``
+    (each repeated chunk once: digest, bytes).
     """
     spark = docs.sparkSession
     repeated = materialize(docs.select("text").mapInArrow(_digests(unit), "digest binary, n long").groupBy("digest").agg(F.sum("n").alias("n")).where("n > 1").select("digest"))
-    source = docs.select("doc_id", "text")
-    schema = f"doc_id long, n_bytes long, form binary, sha binary, own {CHUNKS}, shared {CHUNKS}, {FACT_TYPES}"
+    source, told = docs.select("doc_id", "text"), None
     if repeated.count() <= broadcast_rows:
         told = spark.sparkContext.broadcast({bytes(r[0]) for r in repeated.collect()})
-        rows = source.mapInArrow(_alone(unit, told), schema)
     else:
-        rows = _flagged(source, repeated, unit).mapInArrow(_alone(unit, None), schema)
-    held = materialize(rows.where("form is not null").select("sha", "form", "own", "shared").dropDuplicates(["sha"]))
-    chunks = held.select(F.explode("shared").alias("c")).select("c.digest", "c.bytes").dropDuplicates(["digest"])
-    return {"rows": rows.select("doc_id", "n_bytes", "sha", *FACTS), "lists": held.select("sha", "form", "own", F.transform("shared", lambda c: c["digest"]).alias("refs")), "chunks": chunks}
+        source = _flagged(source, repeated, unit)
+    rows = materialize(source.mapInArrow(_rows(unit, told), f"doc_id long, n_bytes long, sha binary, form binary, own {CHUNKS}, refs array<binary>"))
+    chunks = materialize(source.mapInArrow(_repeated_chunks(unit, told), "digest binary, bytes binary").dropDuplicates(["digest"]))
+    return {"rows": rows, "lists": rows.where("refs is not null").select("sha", "form", "own", "refs").dropDuplicates(["sha"]), "chunks": chunks}
 
 
 def _flagged(source: DataFrame, repeated: DataFrame, unit: int) -> DataFrame:
@@ -211,7 +232,7 @@ def _flagged(source: DataFrame, repeated: DataFrame, unit: int) -> DataFrame:
 
     key = F.unhex(F.sha2(F.encode(F.coalesce("text", F.lit("")), "utf-8"), 256))
     pairs = source.select("text").mapInArrow(listed, "key binary, digest binary").distinct()
-    marks = pairs.join(repeated, "digest").groupBy("key").agg(F.collect_list("digest").alias("marks"))
+    marks = materialize(pairs.join(repeated, "digest").groupBy("key").agg(F.collect_list("digest").alias("marks")))
     return source.withColumn("key", key).join(marks, "key", "left").select("doc_id", "text", "marks")
 
 
@@ -220,6 +241,6 @@ def media_facts(docs: DataFrame, *, unit: int = 576, broadcast_rows: int = 500_0
     stored = store_media(docs, unit=unit, broadcast_rows=broadcast_rows)
     lists, rows = stored["lists"], stored["rows"]
     fetched = lists.select("sha", F.explode("refs").alias("digest")).join(stored["chunks"], "digest").groupBy("sha").agg(F.collect_list(F.struct("digest", "bytes")).alias("fetched"))
-    facts = materialize(lists.select("sha", "form", "own").join(fetched, "sha").select("sha", "form", "own", "fetched").mapInArrow(_joined, f"sha binary, {FACT_TYPES}"))
-    alone = rows.where("sha is null").select("doc_id", "n_bytes", *FACTS)
-    return alone.union(rows.where("sha is not null").select("doc_id", "n_bytes", "sha").join(facts, "sha").select("doc_id", "n_bytes", *FACTS))
+    facts = materialize(lists.select("sha", "form", "own").join(fetched, "sha").select("sha", "form", "own", "fetched").mapInArrow(_facts(["sha"]), f"sha binary, {FACT_TYPES}"))
+    alone = rows.where("refs is null").select("doc_id", "n_bytes", "form", "own").mapInArrow(_facts(["doc_id", "n_bytes"]), f"doc_id long, n_bytes long, {FACT_TYPES}")
+    return alone.union(rows.where("refs is not null").select("doc_id", "n_bytes", "sha").join(facts, "sha").select("doc_id", "n_bytes", *FACTS))
