@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import string
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -108,6 +109,19 @@ def test_entropy_windows(text, kind):
     assert {i for lo, hi in secret_scan.high_windows(text, *kind) for i in range(lo, hi)} == want
 
 
+@pytest.mark.parametrize("alphabet, size", [(string.ascii_letters + string.digits + "-_", 22), (string.ascii_lowercase + string.digits, 24), (string.ascii_lowercase + string.digits, 20), (string.ascii_uppercase + "234567", 24), (string.ascii_uppercase + "234567", 32)])
+def test_random_keys_of_every_alphabet_are_found(alphabet, size):
+    rng = np.random.default_rng(5)
+    keys = ["".join(rng.choice(list(alphabet), size)) for _ in range(500)]
+    assert sum(secret_scan.entropy_spans(f"a {k} b") != [] for k in keys) >= 0.97 * len(keys)
+    assert sum(secret_scan.entropy_spans(f"a example_{k} b") != [] for k in keys) >= 0.97 * len(keys)
+
+
+def test_words_and_fillers_are_no_secrets():
+    for text in ("internationalizationofthings", "example-key-placeholder-value", "ExampleExampleExampleExample", "chapter-internationalization-of-things-12", "123e4567-e89b-12d3-a456-426614174000"):
+        assert secret_scan.entropy_spans(text) == [], text
+
+
 def test_secret_scan(spark, sf, odd):
     found = "see wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY2 and 123e4567-e89b-12d3-a456-426614174000"
     assert secret_scan.joined(secret_scan.all_spans(found)[1]).startswith("entropy:4:")

@@ -28,18 +28,28 @@ HEX = re.compile(r"[0-9a-f]{16,}")  # greedy runs of 16 or more are just the lon
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 
 #: Characters, window length and least entropy (bits a character) of each class.
+#: Random keys of a narrow alphabet stay below the base64 threshold, so base32
+#: and lower-case alphanumerics have their own.
 CLASSES = {
     "hex": (frozenset("0123456789abcdefABCDEF"), 24, 3.0),
     "base64": (frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"), 24, 3.9),
+    "base32": (frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), 24, 3.4),
+    "lower": (frozenset("abcdefghijklmnopqrstuvwxyz0123456789"), 24, 3.4),
 }
+#: Runs of a class from this length up to its window are scored over their own length.
+SHORTEST = 20
+RUNS = {name: re.compile("(?<![{0}])[{0}]{{{1},{2}}}(?![{0}])".format(re.escape("".join(sorted(chars))), SHORTEST, width - 1)) for name, (chars, width, _) in CLASSES.items()}
+#: Ranges of these classes count only if letters and digits alternate: words, and words with a number at an end, do not.
+MIXED = {"base32": re.compile(r"[A-Z][0-9]+[A-Z]|[0-9][A-Z]+[0-9]"), "lower": re.compile(r"[a-z][0-9]+[a-z]|[0-9][a-z]+[0-9]")}
+#: Words of a placeholder at the start of a candidate; what follows them is scanned.
+FILLER = re.compile(r"(?:(?i:example|sample|placeholder|changeme|dummy)[/_=+-]*)+")
 #: Whole candidates that look random and are no secrets: letters of one case with
-#: or without separators (words, paths), digits only, UUIDs, one repeated filler.
+#: or without separators (words, paths), digits only, UUIDs.
 ALLOW = (
     re.compile(r"[A-Z]?[a-z]+(?:[/_=+-]+[A-Z]?[a-z]+)*[/_=+-]*"),
     re.compile(r"[A-Z]+(?:[/_=+-]+[A-Z]+)*[/_=+-]*"),
     re.compile(r"[0-9/_=+-]+"),
     re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),
-    re.compile(r"(?i:example|sample|placeholder|changeme|dummy)[A-Za-z0-9+/_=-]*"),
 )
 
 
@@ -87,21 +97,35 @@ def high_windows(text: str, chars: frozenset, width: int, least: float) -> list[
     return out
 
 
+def class_ranges(word: str, name: str) -> list[tuple[int, int]]:
+    """Ranges of high entropy of one class: windows, and runs too short for a
+    window, whose threshold falls with the log of their length."""
+    chars, width, least = CLASSES[name]
+    found = high_windows(word, chars, width, least)
+    for m in RUNS[name].finditer(word):
+        n = len(m[0])
+        found += [m.span()] * bool(high_windows(m[0], chars, n, least * math.log2(n) / math.log2(width)))
+    mixed = MIXED.get(name)
+    return [(lo, hi) for lo, hi in found if mixed is None or mixed.search(word, lo, hi)]
+
+
 def entropy_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans of high entropy within candidate strings, classes merged."""
     out = []
     for m in CANDIDATE.finditer(text):
-        word = m[0]
-        if any(p.fullmatch(word) for p in ALLOW):
+        start, word = m.start(), m[0]
+        if filler := FILLER.match(word):
+            start, word = start + filler.end(), word[filler.end() :]
+        if len(word) < SHORTEST or any(p.fullmatch(word) for p in ALLOW):
             continue
-        found = sorted(r for chars, width, least in CLASSES.values() for r in high_windows(word, chars, width, least))
+        found = sorted(r for name in CLASSES for r in class_ranges(word, name))
         merged: list[tuple[int, int]] = []
         for lo, hi in found:
             if merged and lo <= merged[-1][1]:
                 merged[-1] = (merged[-1][0], max(hi, merged[-1][1]))
             else:
                 merged.append((lo, hi))
-        out += [("entropy", m.start() + lo, m.start() + hi) for lo, hi in merged]
+        out += [("entropy", start + lo, start + hi) for lo, hi in merged]
     return out
 
 
