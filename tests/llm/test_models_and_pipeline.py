@@ -77,6 +77,27 @@ def test_period_deviates_less_than_a_block(weights):
     assert done == counts
 
 
+@pytest.mark.parametrize("weights", [dict.fromkeys("abc", 1), dict.fromkeys("abcdef", 0.1), dict.fromkeys("abcdefghijklmnopqrs", 1.0), {"a": 0.9999, "b": 0.0001}, {"a": 0.1234567, "b": 0.5, "c": 0.3765433}, {"a": 1 / 3, "b": 1 / 7, "c": 0.6}])
+def test_long_schedules_follow_the_target_weights(weights):
+    total = sum(map(mixing.exact, weights.values()))
+    n = 40_000
+    blocks = {s: max(1, int(n * mixing.exact(w) / total)) for s, w in weights.items()}
+    slots = {}
+    for s, phase, first, last, a, length, start, places in mixing.phases(blocks, weights):
+        for k in range(last - first):
+            slot = start + k // a * length + places[k % a]
+            assert slot not in slots
+            slots[slot] = (phase, s)
+    assert sorted(slots) == list(range(sum(blocks.values())))
+    done = dict.fromkeys(weights, 0)
+    for slot in range(len(slots)):
+        if slots[slot][0]:
+            break
+        done[slots[slot][1]] += 1
+        assert all(abs(done[s] - (slot + 1) * float(mixing.exact(w) / total)) < 1 + 1e-9 for s, w in weights.items())
+    assert slot > n / 2
+
+
 def test_mix(spark, odd):
     rows = [(i, f"t{i}", s) for s, n in (("a", 300), ("b", 90), ("c", 40), (None, 33)) for i in range(n)]
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, source string, _sub int, _key int")
