@@ -40,11 +40,26 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return placed.repartitionByRange(names[2]).sortWithinPartitions(names[2]).select(docs.columns)
 
 
+#: Slots of the mix whose documents are packed together.
+STRETCH_SLOTS = 16
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packed pieces; a sequence holds documents of one file of the mix, so
-    that every stretch of sequences has the mix's weights."""
-    (stretch,) = fresh(docs, "_stretch")
-    return packing.pack_documents(docs.withColumn(stretch, F.col("_metadata.file_name")), stretch=stretch)
+    """Packed pieces; sequence ids follow the mix.  A sequence holds documents
+    of one stretch of the mixed stream, a fixed number of slots however many
+    files there are, so that every stretch of sequences has the mix's weights.
+
+    A document's place in the stream is the rows of the files before its own,
+    plus its row in the file; the driver sees one row a file."""
+    stretch, name, before = fresh(docs, "_stretch", "_file", "_before")
+    files, starts, at = docs.groupBy(F.col("_metadata.file_name").alias(name)).count().collect(), [], 0
+    for file, n in sorted(files):
+        starts.append((file, at))
+        at += n
+    ahead = spark.createDataFrame(starts, f"{name} string, {before} long")
+    placed = docs.select(*docs.columns, F.col("_metadata.file_name").alias(name), F.col("_metadata.row_index").alias(stretch)).join(F.broadcast(ahead), name)
+    place = F.floor((F.col(before) + F.col(stretch)) / (STRETCH_SLOTS * mixing.BLOCK)).cast("long")
+    return packing.pack_documents(placed.withColumn(stretch, place), stretch=stretch)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

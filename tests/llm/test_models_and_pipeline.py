@@ -178,6 +178,23 @@ def test_pipeline_stages(spark, tmp_path):
         assert sum(n for _, n, _ in parts) == parts[0][2]
 
 
+@pytest.mark.parametrize("files", [1, 7])
+def test_packed_sequences_follow_the_mix(spark, tmp_path, files):
+    rows = [(i, f"document {i} " + "word " * (i * 37 % 200), f"s{i % 4}" if i < 8000 else "hot", "en", 1) for i in range(12_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    order = {r["doc_id"]: r["position"] for r in mixing.mix_sources(docs).collect()}
+    mixed = corpus_pipeline.mixed(spark, docs, SF)
+    mixed.coalesce(1).write.parquet(f"{tmp_path}/1") if files == 1 else mixed.write.option("maxRecordsPerFile", 12_000 // files).parquet(f"{tmp_path}/{files}")
+    got = corpus_pipeline.packed(spark, spark.read.parquet(f"{tmp_path}/{files}"), SF).toPandas().sort_values("sequence_id")
+    rank = {d: i // (corpus_pipeline.STRETCH_SLOTS * mixing.BLOCK) for i, d in enumerate(sorted(order, key=order.get))}
+    stretches = got.doc_id.map(rank)
+    assert set(got.doc_id) == set(order) and stretches.is_monotonic_increasing and stretches.nunique() == 12
+    assert got.assign(stretch=stretches).groupby("sequence_id").stretch.nunique().max() == 1
+    for n in range(1, 9):  # while all five sources last, each has a fifth of every prefix
+        head = got[stretches < n].doc_id.drop_duplicates().map(lambda d: rows[d][2]).value_counts()
+        assert all(abs(c - n * 1024 / 5) <= 64 for c in head) and len(head) == 5
+
+
 def test_pipeline_run(spark):
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert rows.count() > 0 and rows.columns[:3] == ["doc_id", "start", "length"]

@@ -32,6 +32,10 @@ from pyspark.sql import functions as F
 from .shared import fresh
 
 
+#: Rows of a block.
+BLOCK = 64
+
+
 def exact(weight) -> Fraction:
     """The weight as written: 0.3 is 3/10, not the binary number next to it."""
     return Fraction(str(weight)) if isinstance(weight, float) else Fraction(weight)
@@ -102,7 +106,7 @@ def phases(blocks: dict, weights: dict, denominator: int | None = None) -> list[
     return out
 
 
-def mix_sources(docs: DataFrame, *, weights: dict | None = None, block: int = 64, sub_buckets: int = 256, denominator: int | None = None, names: tuple[str, ...] = ("block", "slot", "position")) -> DataFrame:
+def mix_sources(docs: DataFrame, *, weights: dict | None = None, block: int = BLOCK, sub_buckets: int = 256, denominator: int | None = None, names: tuple[str, ...] = ("block", "slot", "position")) -> DataFrame:
     """``docs`` with the columns block (of its source), slot and position.
 
     Positions order the mixed stream: slot * block + place within the block.

@@ -154,15 +154,22 @@ def pack_documents(docs: DataFrame, *, size: int = 2048, end_id: int = 1, tokeni
     """``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` of
     every piece of every row of ``docs``.
 
-    stretch: a column; only documents with one value of it share sequences.
+    stretch: a column; only documents with one value of it share sequences,
+    and sequence ids follow the order of its values (null first).
     """
-    source = docs.select("doc_id", "text", (F.col(stretch).cast("string") if stretch else F.lit(None).cast("string")).alias("stretch"))
-    pieces = materialize(source.mapInArrow(_pieces(tokenizer, size, end_id), "doc_id long, stretch string, start long, length long, ids_crc32 long, doc_tokens long"))
+    source = docs.select("doc_id", "text", (F.col(stretch) if stretch else F.lit(None).cast("string")).alias("stretch"))
+    kind = dict(source.dtypes)["stretch"]
+    pieces = materialize(source.mapInArrow(_pieces(tokenizer, size, end_id), f"doc_id long, stretch {kind}, start long, length long, ids_crc32 long, doc_tokens long"))
     if stretch:
-        sizes = pieces.groupBy("stretch").agg(F.ceil(F.count(F.lit(1)) / group_rows).alias("parts"))
-        pieces = pieces.join(sizes.withColumnRenamed("stretch", "s"), F.col("stretch").eqNullSafe(F.col("s"))).drop("s")
-        group = F.pmod(F.xxhash64("stretch", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("parts"))), F.lit(1 << 30))
-        pieces = pieces.withColumn("grp", group).drop("parts")
+        # groups are numbered in the order of the stretches, of which the driver sees one row each
+        sizes, numbered, first = pieces.groupBy("stretch").agg(F.ceil(F.count(F.lit(1)) / group_rows).alias("parts")).orderBy("stretch").collect(), [], 0
+        for value, parts in sizes:
+            numbered.append((value, parts, first))
+            first += parts
+        groups = docs.sparkSession.createDataFrame(numbered, f"s {kind}, parts long, first long")
+        pieces = pieces.join(groups, F.col("stretch").eqNullSafe(F.col("s"))).drop("s")
+        group = F.col("first") + F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("parts"))
+        pieces = pieces.withColumn("grp", group).drop("parts", "first")
     else:
         parts = max(1, -(-pieces.count() // group_rows))
         pieces = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(parts)).cast("long"))
