@@ -22,13 +22,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import slices
+from .shared import slices, small_batches
 from .textvec import U, Words, mix, spaced
 
 BUCKETS = 1 << 16
 GRAMS = (3, 4, 5)
 #: How far back a word's repeats are looked for, in words.
 REPEATS = tuple(range(1, 9))
+GRAIN = 1 << 24
 
 
 def held_out(doc_id: Column) -> Column:
@@ -58,38 +59,36 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, c
     return pd.DataFrame([kept[i] for i in sorted(kept)], columns=["text", "y"])
 
 
-def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, int]:
-    """Hash bucket and text index of every feature of a batch of texts."""
+def features(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hash bucket and text index of the features of a batch, part by part."""
+    low = U(BUCKETS - 1)
     w = Words([spaced(t) for t in texts])
-    buckets, docs = [w.hashes], [w.doc]
+    yield (w.hashes & low).astype(np.uint16), w.doc
     for n in GRAMS:
-        h, d = w.grams(n)
-        buckets.append(h)
-        docs.append(d)
+        for h, d in w.grams(n):
+            yield (h & low).astype(np.uint16), d
     for back in REPEATS:
-        if len(w.hashes) > back:
-            within = w.doc[back:] == w.doc[:-back]
-            same = (w.hashes[back:] == w.hashes[:-back])[within]
-            # said whether or not it repeats, so that its share in a text counts
-            buckets.append(mix(same.astype(U) + U(2 * back)))
-            docs.append(w.doc[back:][within])
-    return (np.concatenate(buckets) & U(BUCKETS - 1)).astype(np.int64), np.concatenate(docs), len(texts)
+        within = w.doc[back:] == w.doc[:-back]
+        same = (w.hashes[back:] == w.hashes[:-back])[within]
+        # said whether or not it repeats, so that its share in a text counts
+        said = (mix(np.arange(2, dtype=U) + U(2 * back)) & low).astype(np.uint16)
+        yield said[same.astype(np.int8)], w.doc[back:][within]
 
 
 def train(sample: pd.DataFrame, *, dim: int = 8, epochs: int = 4, rate: float = 0.5, seed: int = 5) -> tuple[np.ndarray, float]:
     """Fitted table (a number a bucket: how far its vector speaks for label 1)
     and bias."""
     if sample.empty or sample.y.nunique() < 2:
-        return np.zeros(BUCKETS, np.float32), 0.0
+        return np.zeros(BUCKETS), 0.0
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / dim, 1 / dim, (BUCKETS, dim)).astype(np.float32)
     layer, bias = rng.normal(0, 0.1, (dim, 2)).astype(np.float32), np.zeros(2, np.float32)
     rows = []
     texts = sample.text.tolist()
     for lo, hi in slices(texts):
-        bucket, doc, n = features(texts[lo:hi])
+        bucket, doc = (np.concatenate(x) for x in zip(*features(texts[lo:hi])))
         order = np.argsort(doc, kind="stable")
-        bucket, ends = bucket[order], np.cumsum(np.bincount(doc, minlength=n))
+        bucket, ends = bucket[order], np.cumsum(np.bincount(doc, minlength=hi - lo))
         for start, end in zip(np.concatenate([[0], ends[:-1]]), ends):
             ids, counts = np.unique(bucket[start:end], return_counts=True)
             rows.append((ids, (counts / max(1, end - start)).astype(np.float32)))
@@ -111,22 +110,25 @@ def train(sample: pd.DataFrame, *, dim: int = 8, epochs: int = 4, rate: float =
             # each feature's step is by its share of the average; scaled up, as averages are long
             vectors[ids] -= (speed * np.minimum(1.0, share * 20))[:, None] * back
     spread = layer[:, 1] - layer[:, 0]
-    return vectors @ spread, float(bias[1] - bias[0])
+    # multiples of a power of two: their sums are exact, whatever the order of the parts
+    return np.round((vectors @ spread).astype(np.float64) * GRAIN) / GRAIN, float(bias[1] - bias[0])
 
 
 def scores(texts: list[str | None], table: np.ndarray, bias: float) -> np.ndarray:
     out = np.empty(len(texts))
     for lo, hi in slices(texts):
-        bucket, doc, n = features(texts[lo:hi])
-        count = np.bincount(doc, minlength=n)
-        z = np.bincount(doc, weights=table[bucket], minlength=n) / np.maximum(count, 1) + bias
-        out[lo:hi] = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+        count, total = np.zeros(hi - lo), np.zeros(hi - lo)
+        for bucket, doc in features(texts[lo:hi]):
+            count += np.bincount(doc, minlength=hi - lo)
+            total += np.bincount(doc, weights=table[bucket], minlength=hi - lo)
+        out[lo:hi] = 1 / (1 + np.exp(-np.clip(total / np.maximum(count, 1) + bias, -60, 60)))
     return out
 
 
 def quality_score(docs: DataFrame, labels: DataFrame, *, rows: int = 3000, chars: int = 12_000_000):
     """A function from a text column to its score, fitted on at most ``rows``
     labelled rows of at most ``chars`` characters together."""
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(train(labelled_sample(docs, labels, "quality", rows, chars)))
 
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -64,7 +64,7 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def slices(texts: list, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: list, most: int = 1 << 17) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose texts together have about ``most`` characters."""
     start = size = 0
     for i, text in enumerate(texts):
@@ -76,6 +76,50 @@ def slices(texts: list, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
+    """Arrow batches of at most ``rows`` rows and about ``size`` bytes from
+    here on, so that a task holds some megabytes at once in the JVM and in
+    Python.  A session's own smaller number of rows stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def hot_join(rows: DataFrame, table: DataFrame, key: str, size: str, most: int, spread: str, salts: int = 32) -> DataFrame:
+    """``rows`` joined with ``table`` (one row a ``key``) on ``key``, no task
+    taking all rows of a frequent one.
+
+    size: how many of ``rows`` have the key.  Keys with more than ``most`` are
+    dealt by a hash of the column ``spread`` to ``salts`` tasks, which their row
+    of ``table`` is copied to.  Which keys these are is broadcast; they are at
+    most rows / most, so a ``most`` that grows with the rows bounds their number.
+    """
+    salt, hot = fresh(rows, "_salt", "_hot")
+    keys = table.where(F.col(size) > most).select(key, F.lit(True).alias(hot))
+    dealt = rows.join(F.broadcast(keys), key, "left").withColumn(salt, F.when(F.col(hot), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0)).drop(hot)
+    copies = F.when(F.col(size) > most, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(table.withColumn(salt, F.explode(copies)), [key, salt]).drop(salt)
+
+
+#: Least degree of a hub, and the most hubs there can be: 2 * edges / (edges * 2 / HUBS).
+HUB, HUBS = 10_000, 2000
+
+
+def _with_least(rows: DataFrame, key: str, value: str, most: int) -> DataFrame:
+    """``rows`` and the least ``value`` of their ``key`` as column m.
+
+    Minima are aggregated before the shuffle.  Keys with more than ``most``
+    rows (at most ``HUBS``) have their minimum broadcast, so their rows stay
+    where they are; the others are joined.
+    """
+    least = rows.groupBy(key).agg(F.min(value).alias("m"), F.count(F.lit(1)).alias("d"))
+    hubs = least.where(F.col("d") > most).select(key, F.col("m").alias("hub"))
+    tagged = rows.join(F.broadcast(hubs), key, "left")
+    rest = tagged.where("hub is null").drop("hub").join(least.where(F.col("d") <= most).drop("d"), key)
+    return tagged.where("hub is not null").withColumnRenamed("hub", "m").unionByName(rest)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` for every node of ``edges(a, b)``; the component
     is its smallest node.
@@ -83,16 +127,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps: every step replaces edges by
     edges to the smallest neighbour, until all are stars.  Each round is
     written to the shared folder; the driver sees a count and one checksum.
-    Nodes are joined with their minimum, which is aggregated before the
-    shuffle, so a hub's edges never meet in one buffer.
     """
     now = materialize(edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where("lo < hi").distinct())
     mark = _checksum(now)
     while True:
+        most = max(HUB, 2 * mark[0] // HUBS)
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        small = large.join(large.groupBy("hi").agg(F.min("lo").alias("m")), "hi")
+        large = _with_least(both, "u", "v", most).where("v > u").select(F.col("v").alias("hi"), F.least("u", "m").alias("lo")).distinct()
+        small = _with_least(large, "hi", "lo", most)
         after = materialize(small.select("hi", F.col("m").alias("lo")).union(small.where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))).distinct().select("lo", "hi"))
         if (new := _checksum(after)) == mark:
             roots = after.select("lo").distinct()

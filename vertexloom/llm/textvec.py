@@ -8,6 +8,9 @@ gives the same numbers in any batch, task or session.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 
 U = np.uint64
@@ -25,13 +28,22 @@ def mix(x: np.ndarray) -> np.ndarray:
 _C = mix(np.arange(1, PLACES + 1, dtype=U)) | U(1)
 
 
+#: Texts above so many characters are split without a list of their words.
+LONG = 1 << 18
+SPACE = re.compile(r"\s+")
+#: Bytes that are hashed at once.
+CHUNK = 1 << 18
+
+
 def words_of(text: str | None) -> str:
     """Lower-cased words joined by single spaces; null: empty."""
-    return " ".join(text.lower().split()) if text else ""
+    return spaced(text.lower()) if text else ""
 
 
 def spaced(text: str | None) -> str:
     """Words as they are, joined by single spaces; null: empty."""
+    if text and len(text) > LONG:
+        return SPACE.sub(" ", text).strip()
     return " ".join(text.split()) if text else ""
 
 
@@ -40,6 +52,8 @@ class Words:
 
     hashes: one 64-bit hash a word; doc: its text's index; counts: words of
     each text; data, starts, lengths: the bytes and each word's place there.
+    Bytes are hashed ``CHUNK`` at a time, so that a long text needs some bytes
+    of memory a byte, and not some numbers a byte.
     """
 
     def __init__(self, texts: list[str]):
@@ -53,33 +67,42 @@ class Words:
         bounds = np.searchsorted(self.starts, offsets)
         self.counts = np.diff(bounds)
         self.first = bounds[:-1]
-        self.doc = np.repeat(np.arange(len(texts)), self.counts)
-        if not len(self.starts):
-            self.hashes = np.zeros(0, U)
-            return
-        begin = np.cumsum(self.lengths) - self.lengths
-        place = np.arange(begin[-1] + self.lengths[-1]) - np.repeat(begin, self.lengths)
-        valued = (self.data[inside].astype(U) + U(1)) * _C[place & (PLACES - 1)]
-        self.hashes = mix(np.add.reduceat(valued, begin))
-
-    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hash and text index of each run of n bytes within a word and the
-        space on either side of it."""
-        size = len(self.data) - n + 1
-        if size <= 0 or not len(self.starts):
-            return np.zeros(0, U), np.zeros(0, np.int64)
-        space = self.data == 32
-        good = np.ones(size, bool)
-        for j in range(1, n - 1):
-            good &= ~space[j : j + size]
-        good &= ~(space[:size] & space[n - 1 : n - 1 + size]) if n == 2 else True
-        at = np.flatnonzero(good)
-        total = np.full(len(at), n, U)
-        for j in range(n):
-            total += (self.data[at + j].astype(U) + U(1)) * _C[j + 97 * n]
-        # a gram's middle byte lies in a word, which tells the text
-        word = np.searchsorted(self.starts, at + min(1, n - 1), side="right") - 1
-        return mix(total), self.doc[np.maximum(word, 0)]
+        self.doc = np.repeat(np.arange(len(texts), dtype=np.int32), self.counts)
+        self.hashes = np.empty(len(self.starts), U)
+        for lo, hi in self._runs():
+            lengths = self.lengths[lo:hi]
+            begin = np.cumsum(lengths) - lengths
+            place = np.arange(int(begin[-1] + lengths[-1])) - np.repeat(begin, lengths)
+            at = slice(int(self.starts[lo]), int(ends[hi - 1]))
+            valued = (self.data[at][inside[at]].astype(U) + U(1)) * _C[place & (PLACES - 1)]
+            self.hashes[lo:hi] = mix(np.add.reduceat(valued, begin))
+
+    def _runs(self) -> Iterator[tuple[int, int]]:
+        """Ranges of words that have about ``CHUNK`` bytes (one word may have more)."""
+        lo = 0
+        while lo < len(self.starts):
+            hi = max(lo + 1, int(np.searchsorted(self.starts, self.starts[lo] + CHUNK)))
+            yield lo, hi
+            lo = hi
+
+    def grams(self, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Hash and text index of each run of n > 2 bytes within a word and the
+        space on either side of it, ``CHUNK`` bytes at a time."""
+        last = len(self.data) - n + 1 if len(self.starts) else 0
+        for lo in range(0, last, CHUNK):
+            size = min(CHUNK, last - lo)
+            data = self.data[lo : lo + size + n - 1]
+            space = data == 32
+            good = np.ones(size, bool)
+            for j in range(1, n - 1):
+                good &= ~space[j : j + size]
+            at = np.flatnonzero(good)
+            total = np.full(len(at), n, U)
+            for j in range(n):
+                total += (data[at + j].astype(U) + U(1)) * _C[j + 97 * n]
+            # a gram's second byte lies in a word, which tells the text
+            word = np.searchsorted(self.starts, at + (lo + 1), side="right") - 1
+            yield mix(total), self.doc[np.maximum(word, 0)]
 
     def shingles(self, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each text its distinct shingles of k words, ascending, and how
