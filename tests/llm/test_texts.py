@@ -180,12 +180,73 @@ def test_near_duplicates_match_brute_force(spark):
 
 
 def test_near_duplicates_odd_rows(spark, odd):
-    rows = sorted(((r["doc_id"] or -1), r["class_id"], r["kept"]) for r in minhash.near_duplicates(odd).collect() if r["doc_id"] is not None)
-    assert rows == [(1, 1, True), (1, 1, True), (2, 2, True), (3, 3, True), (4, 4, True), (5, 4, False), (6, 6, True), (7, 7, True)]
+    rows = sorted(((r["doc_id"] or -1), r["class_id"] or -1, r["kept"]) for r in minhash.near_duplicates(odd).collect())
+    assert rows == [(-1, -1, True), (-1, 1, False), (1, 1, True), (1, 1, True), (2, 2, True), (3, 3, True), (4, 4, True), (5, 4, False), (6, 6, True), (7, 7, True)]
     kept = minhash.keep_one(odd, minhash.near_duplicates(odd))
     assert kept.columns == odd.columns
-    assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, -1, 1, 2, 3, 4, 6, 7]
+    assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 1, 2, 3, 4, 6, 7]
     assert minhash.near_duplicates(odd.where("false")).count() == 0
+    assert minhash.keep_one(odd.where("false"), minhash.near_duplicates(odd.where("false"))).count() == 0
+
+
+def brute_classes(rows):
+    """Rows (doc_id, text) by their class, and the row that each class keeps."""
+    sets = [sets_of(t or "") for _, t in rows]
+    links = [(i, j) for i, j in combinations(range(len(rows)), 2) if sets[i] and sets[j] and (sets[i] == sets[j] or brute_jp(sets[i], sets[j]) >= 0.8)]
+    part, classes = components(len(rows), links), {}
+    for i, p in enumerate(part):
+        classes.setdefault(p, []).append(rows[i])
+    order = lambda r: (r[0] is None, r[0] or 0, hashlib.md5((r[1] or "").encode()).digest())
+    return [(min(c, key=order), c) for c in classes.values()]
+
+
+def test_repeated_and_null_ids_lose_no_document(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    near = lambda t: t.replace(t.split()[0], "zz", 1)
+    rows = [(3, a), (5, a), (5, b), (5, c), (5, near(c)), (3, b.upper()), (9, d), (9, d), (9, d + " "), (None, d), (None, near(a)), (None, c + " x"), (None, " ".join(reversed(a.split()))), (None, None), (8, ""), (8, "")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, digest string")
+    classes = minhash.near_duplicates(df, hot=1)
+    want = brute_classes(rows)
+    told = sorted((r["doc_id"] or -1, bytes(r["digest"] or b""), r["class_id"] or -1, r["kept"]) for r in classes.collect())
+    digest = lambda t: hashlib.md5(t.encode()).digest() if t is not None else b""
+    assert told == sorted((i or -1, digest(t), first[0] or -1, (i, t) == first) for first, c in want for i, t in c)
+    for broadcast_ids in (0, 1000):
+        kept = [(r["doc_id"], r["text"]) for r in minhash.keep_one(df, classes, broadcast_ids=broadcast_ids).collect()]
+        assert sorted(kept, key=repr) == sorted({first for first, _ in want}, key=repr)
+
+
+def test_near_duplicates_of_the_documents_are_all_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs).collect()}
+    sets = {d: sets_of(t) for d, t in texts.items()}
+    holders = {}
+    for d, s in sets.items():
+        for e in s:
+            holders.setdefault(e, []).append(d)
+    shared = Counter(p for held in holders.values() if len(held) < 200 for p in combinations(sorted(held), 2))
+    links = [(a, b) for (a, b), n in shared.items() if n >= 0.5 * min(len(sets[a]), len(sets[b])) and brute_jp(sets[a], sets[b]) >= 0.8]
+    assert len(links) > 50
+    place = {d: i for i, d in enumerate(sorted(texts))}
+    part = components(len(place), [(place[a], place[b]) for a, b in links])
+    assert [got[d] for d in sorted(texts)] == [sorted(texts)[p] for p in part]
+
+
+def test_long_texts_have_the_signature_of_their_parts():
+    rng = np.random.default_rng(3)
+    hashes = np.unique(rng.integers(0, 2**63, 3 * minhash.ARRIVING // 2).astype(np.uint64))
+    weights = rng.integers(1, 4, len(hashes))
+    whole = minhash.prob_minhash([(hashes[:9], weights[:9]), (hashes, weights), (hashes[9:40], weights[9:40])], 64)
+    n, minhash.ARRIVING = minhash.ARRIVING, 1 << 20
+    try:
+        assert (whole == minhash.prob_minhash([(hashes[:9], weights[:9]), (hashes, weights), (hashes[9:40], weights[9:40])], 64)).all()
+    finally:
+        minhash.ARRIVING = n
+    text = " ".join(f"word{i % 99991}" for i in range(60_000))
+    assert words_of(text + " \x1c\u3000 x\n") == " ".join((text + " x").split())
+    w = Words([text, "", "a b"])
+    assert w.counts.tolist() == [60_000, 0, 2] and w.hashes[:3].tolist() == Words(["word0 word1 word2"]).hashes.tolist()
+    assert sum(len(h) for h, _ in w.grams(3)) == sum(map(len, text.split())) + 2
 
 
 # --- packing ----------------------------------------------------------------------
