@@ -86,18 +86,18 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> N
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
-def hot_join(rows: DataFrame, table: DataFrame, key: str, size: str, most: int, spread: str, salts: int = 32) -> DataFrame:
+def hot_join(rows: DataFrame, table: DataFrame, key: str, size: str, most: int, spread: str | list[str], salts: int = 32) -> DataFrame:
     """``rows`` joined with ``table`` (one row a ``key``) on ``key``, no task
     taking all rows of a frequent one.
 
     size: how many of ``rows`` have the key.  Keys with more than ``most`` are
-    dealt by a hash of the column ``spread`` to ``salts`` tasks, which their row
+    dealt by a hash of the columns ``spread`` to ``salts`` tasks, which their row
     of ``table`` is copied to.  Which keys these are is broadcast; they are at
     most rows / most, so a ``most`` that grows with the rows bounds their number.
     """
     salt, hot = fresh(rows, "_salt", "_hot")
     keys = table.where(F.col(size) > most).select(key, F.lit(True).alias(hot))
-    dealt = rows.join(F.broadcast(keys), key, "left").withColumn(salt, F.when(F.col(hot), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0)).drop(hot)
+    dealt = rows.join(F.broadcast(keys), key, "left").withColumn(salt, F.when(F.col(hot), F.pmod(F.xxhash64(*([spread] if isinstance(spread, str) else spread)), F.lit(salts)).cast("int")).otherwise(0)).drop(hot)
     copies = F.when(F.col(size) > most, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     return dealt.join(table.withColumn(salt, F.explode(copies)), [key, salt]).drop(salt)
 

@@ -11,8 +11,9 @@ groups (method of moments).  A host is blocked if a lower bound of its
 posterior bad rate is above ``most_bad``.
 
 Defined results: a null url or one without ``://`` has empty host and path and
-is judged like any other host.  Hosts without outcomes have their domain's
-mean.  Several labels of one document: bad if one is.  Without outcomes the
+is judged like any other host.  A url names the document whose number starts its
+path's last segment (one slash may follow it); more than 18 digits count as
+their first 18.  Hosts without outcomes have their domain's mean.  Several labels of one document: bad if one is.  Without outcomes the
 rate is 0.5 with the widest prior.  Repeated rows get equal verdicts.  Only
 ``page_id`` and ``url`` are read.
 """
@@ -22,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import hot_join, materialize
+
 #: (host, path, verdict)
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 #: Second-level names under which, with a country code, registered domains start one label further left.
@@ -56,6 +59,17 @@ def suffix_and_domain(host: Column) -> tuple[Column, Column]:
     return F.when(two, F.substring_index(host, ".", -2)).otherwise(F.substring_index(host, ".", -1)), F.when(two, F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
 
 
+def named_document(path: Column) -> Column:
+    """The number at the start of the path's last segment; null if none.
+
+    The segment is cut off first: a pattern over all segments would recurse
+    once a segment and end the JVM on a long path.
+    """
+    trimmed = F.when(F.endswith(path, F.lit("/")), F.left(path, F.length(path) - 1)).otherwise(path)
+    number = F.regexp_extract(F.substring_index(trimmed, "/", -1), r"^[0-9]{1,18}", 0)
+    return F.when(F.startswith(trimmed, F.lit("/")) & (number != ""), number.cast("long"))
+
+
 def strength(groups: DataFrame) -> tuple[float, float]:
     """Corpus rate, and the prior strength by the method of moments, of groups
     with ``n`` outcomes of which ``bad`` are bad.  Three sums reach the driver."""
@@ -72,31 +86,34 @@ def strength(groups: DataFrame) -> tuple[float, float]:
     return rate, min(STRENGTH[1], max(STRENGTH[0], 1 / rho - 1)) if rho > 0 else STRENGTH[1]
 
 
-def judge_urls(pages: DataFrame, labels: DataFrame, *, rules=RULES, named_document: str = r"://[^/?#]*/(?:[^/?#]*/)*([0-9]{1,18})[^/?#]*(?:[?#].*)?$", most_bad: float = 0.5, z: float = 1.645) -> DataFrame:
+def judge_urls(pages: DataFrame, labels: DataFrame, *, rules=RULES, named=named_document, most_bad: float = 0.5, z: float = 1.645, hot: int = 1000) -> DataFrame:
     """``page_id, host, path, rule, verdict, bad_rate`` for each row.
 
-    named_document: group 1 is the id of the labelled document a url names.
+    named: gives the id of the labelled document that a path names.  hot:
+    hosts of more pages (or more than a 2000th of all) are dealt to several tasks.
     """
     host, path = host_and_path(F.col("url"))
-    seen = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
+    seen = pages.select("page_id", host.alias("host"), path.alias("path"))
     suffix, domain = suffix_and_domain(F.col("host"))
     told = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).otherwise(0)).alias("bad"))
-    number = F.regexp_extract(F.coalesce("url", F.lit("")), named_document, 1)
     # counted by host and document before the join, so a frequent host or document is one row a task
-    visits = seen.select("host", F.when(number != "", number.cast("long")).alias("doc_id")).where("doc_id is not null").groupBy("host", "doc_id").agg(F.count(F.lit(1)).alias("visits"))
-    outcomes = visits.join(told, "doc_id").groupBy("host").agg(F.sum("visits").alias("n"), F.sum(F.col("visits") * F.col("bad")).alias("bad"))
-    hosts = seen.select("host").distinct().join(outcomes, "host", "left").select("host", suffix.alias("suffix"), domain.alias("domain"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("bad", F.lit(0)).alias("bad"))
+    visits = seen.groupBy("host", named(F.col("path")).alias("doc_id")).agg(F.count(F.lit(1)).alias("visits")).join(told, "doc_id", "left")
+    known = F.when(F.col("bad").isNotNull(), F.col("visits")).otherwise(0)
+    counts = visits.groupBy("host").agg(F.sum("visits").alias("pages"), F.sum(known).alias("n"), F.sum(known * F.coalesce("bad", F.lit(0))).alias("bad"))
+    hosts = materialize(counts.select("host", suffix.alias("suffix"), domain.alias("domain"), "pages", "n", "bad"))
+    total = hosts.agg(F.sum("pages")).first()[0] or 0
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     (rate, of_suffix), (_, of_domain), (_, of_host) = (strength(x) for x in (suffixes, domains, hosts))
     mean = lambda k, prior: (F.col("bad") + F.lit(k) * prior) / (F.col("n") + F.lit(k))
     by_suffix = suffixes.select("suffix", mean(of_suffix, F.lit(rate)).alias("p_suffix"))
     by_domain = domains.join(by_suffix, "suffix").select("domain", mean(of_domain, F.col("p_suffix")).alias("p_domain"))
-    by_host = hosts.join(by_domain, "domain").select("host", (F.col("n") + F.lit(of_host)).alias("weight"), mean(of_host, F.col("p_domain")).alias("bad_rate"))
+    by_host = hosts.join(by_domain, "domain").select("host", "pages", (F.col("n") + F.lit(of_host)).alias("weight"), mean(of_host, F.col("p_domain")).alias("bad_rate"))
     lower = F.col("bad_rate") - F.lit(z) * F.sqrt(F.col("bad_rate") * (1 - F.col("bad_rate")) / (F.col("weight") + 1))
-    by_host = by_host.select("host", "bad_rate", F.when(lower > most_bad, "block").otherwise("allow").alias("judged"))
+    by_host = by_host.select("host", "pages", "bad_rate", F.when(lower > most_bad, "block").otherwise("allow").alias("judged"))
     rule, ruled = rule_column(F.col("host"), F.col("path"), rules)
-    return seen.join(by_host, "host").select(F.col("page_id").cast("long").alias("page_id"), "host", "path", rule.alias("rule"), F.coalesce(ruled, "judged").alias("verdict"), F.round("bad_rate", 6).alias("bad_rate"))
+    judged = hot_join(seen, by_host, "host", "pages", max(hot, total // 2000), ["page_id", "path"])
+    return judged.select(F.col("page_id").cast("long").alias("page_id"), "host", "path", rule.alias("rule"), F.coalesce(ruled, "judged").alias("verdict"), F.round("bad_rate", 6).alias("bad_rate"))
 
 
 #: The rows of judge_urls with its defaults, for DuckDB.
@@ -104,7 +121,7 @@ SQL = r"""
 WITH split AS (SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 seen AS (SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM split),
 told AS (SELECT doc_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
-named AS (SELECT host, TRY_CAST(nullif(regexp_extract(coalesce(url, ''), '://[^/?#]*/(?:[^/?#]*/)*([0-9]{1,18})[^/?#]*(?:[?#].*)?$', 1), '') AS BIGINT) AS doc_id FROM seen),
+named AS (SELECT host, CASE WHEN starts_with(p, '/') THEN TRY_CAST(nullif(regexp_extract(string_split(p, '/')[-1], '^[0-9]{1,18}', 0), '') AS BIGINT) END AS doc_id FROM (SELECT host, CASE WHEN ends_with(path, '/') THEN left(path, length(path) - 1) ELSE path END AS p FROM seen)),
 outcomes AS (SELECT host, count(*) AS n, sum(bad) AS bad FROM named JOIN told USING (doc_id) GROUP BY host),
 parts AS (SELECT DISTINCT host, string_split(host, '.') AS l FROM seen),
 two AS (SELECT host, l, coalesce(len(l) >= 3 AND length(l[-1]) = 2 AND l[-2] IN ('ac','co','com','edu','gov','net','org'), false) AS b FROM parts),
