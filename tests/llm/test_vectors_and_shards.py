@@ -53,9 +53,22 @@ def test_near_vectors_odd_rows(spark):
     got = sorted((r["vec_id"] or -1, r["n_links"], r["component_id"], r["kept"]) for r in embed_dedup.near_vectors(df).collect())
     alone = [(i, 0, i, True) for i in (3, 4, 5, 6, 7, 8, 9)]
     assert got == sorted([(-1, 0, None, False), (1, 2, 1, True), (2, 2, 1, False), (2, 2, 1, False), *alone], key=lambda r: r[:2])
+    # one vec_id with two vectors: each row has its own vector's links and component
+    rows = [(2, [0.0, 1.0]), (2, [1.0, 0.0]), (3, [1.0, 0.01]), (1, [-1.0, 0.0]), (1, [1.0, 0.0]), (7, [0.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embed_dedup.near_vectors(df, miss=1e-6).collect())
+    assert got == [(1, 0, 1), (1, 2, 1), (2, 1, 2), (2, 2, 1), (3, 2, 1), (7, 1, 2)]
     assert embed_dedup.near_vectors(df.where("false")).count() == 0
 
 
+def test_registered_tables_miss_few_links(spark, vectors):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    x = vectors.astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links = (x @ x.T >= 0.9).sum() - len(x)
+    assert sum(r["n_links"] for r in embed_dedup.near_vectors(df).collect()) >= 0.995 * links
+
+
 def jump(key, n):
     key &= 0xFFFFFFFFFFFFFFFF
     b, j = -1, 0

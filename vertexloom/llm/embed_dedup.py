@@ -10,8 +10,9 @@ of blocks is one group, so no group grows with the data and no pair is lost.
 Defined results: a null, empty or zero vector, or one with a null or
 non-finite component, links with nothing; so does a row with a null vec_id
 (its component_id is null).  Vectors of different lengths never link.  Rows
-with one vec_id count as one node of the components.  Only ``vec_id`` and
-``embedding`` are read; other columns do not matter.
+that share a vec_id and have other vectors are other nodes, each with the links
+and component of its own vector.  Only ``vec_id`` and ``embedding`` are read;
+other columns do not matter.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, materialize
+from .shared import connected_components, hot_join, materialize, small_batches
 
 #: Big buckets that are told to the tasks by broadcast; more go by a join.
 BROADCAST_ROWS = 50_000
@@ -81,7 +82,7 @@ def _linker(threshold: float, kind: str):
             ids_out, counts_out, least_out = [], [], []
             for t, i, j, rows in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3)):
                 items = rows.values
-                ids = items.field("rep").to_numpy()
+                ids = items.field("node").to_numpy()
                 side = items.field("blk").to_numpy()
                 weight = items.field("n").to_numpy()
                 x = _unit(np.frombuffer(b"".join(items.field("vec").to_pylist()), kind).reshape(len(ids), -1))
@@ -119,7 +120,7 @@ def _linker(threshold: float, kind: str):
                 counts_out.append(count[linked])
                 least_out.append(label[linked])
             cat = lambda xs: np.concatenate(xs) if xs else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(cat(x), pa.int64()) for x in (ids_out, counts_out, least_out)], names=["rep", "links", "least"])
+            yield pa.RecordBatch.from_arrays([pa.array(cat(x), pa.int64()) for x in (ids_out, counts_out, least_out)], names=["node", "links", "least"])
 
     return blocks
 
@@ -133,31 +134,35 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.9, miss: float = 1e
     """
     double = dict(vectors.dtypes)["embedding"] != "array<float>"
     source = vectors.select("vec_id", F.col("embedding").cast("array<double>" if double else "array<float>").alias("embedding"))
+    small_batches(vectors.sparkSession)
     bits, tables = tables_for(vectors.count(), threshold, miss)
     signed = materialize(source.mapInArrow(_signer(bits, tables, seed), "vec_id long, content binary, dim int, vec binary, codes array<int>"))
-    reps = materialize(
-        signed.where("content is not null and vec_id is not null").groupBy("content").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("dim").alias("dim"), F.first("vec").alias("vec"), F.first("codes").alias("codes"))
-    )
+    nodes = signed.where("content is not null and vec_id is not null").groupBy("content").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("dim").alias("dim"), F.first("vec").alias("vec"), F.first("codes").alias("codes"))
+    # a node's number is fixed once it is written
+    reps = materialize(nodes.withColumn("node", F.monotonically_increasing_id()))
     big = materialize(reps.select("dim", F.posexplode("codes").alias("t", "code")).groupBy("dim", "t", "code").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > block))
     small_enough = big.count() <= BROADCAST_ROWS
-    rows = reps.select("rep", "n", "dim", "vec", "codes", F.posexplode("codes").alias("t", "code"))
+    rows = reps.select("node", "n", "dim", "vec", "codes", F.posexplode("codes").alias("t", "code"))
     rows = rows.join(F.broadcast(big) if small_enough else big, ["dim", "t", "code"], "left")
     parts = F.coalesce(F.ceil(F.col("size") / block), F.lit(1))
-    rows = rows.withColumn("parts", parts).withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("parts", parts).withColumn("blk", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))))
     groups = (
         rows.groupBy("dim", "t", "code", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"))
-        .agg(F.collect_list(F.struct("rep", "n", "blk", "vec", "codes")).alias("rows"))
+        .agg(F.collect_list(F.struct("node", "n", "blk", "vec", "codes")).alias("rows"))
         .where("size(rows) > 1")
     )
-    linked = materialize(groups.select("t", "i", "j", "rows").mapInArrow(_linker(threshold, "<f8" if double else "<f4"), "rep long, links long, least long").groupBy("rep", "least").agg(F.sum("links").alias("links")))
-    component = connected_components(linked.select(F.col("rep").alias("a"), F.col("least").alias("b")))
-    links = linked.groupBy("rep").agg(F.sum("links").alias("links"))
-    nodes = reps.select("content", "rep", "n").join(links, "rep", "left").join(component.withColumnRenamed("node", "rep"), "rep", "left")
+    linked = materialize(groups.select("t", "i", "j", "rows").mapInArrow(_linker(threshold, "<f8" if double else "<f4"), "node long, links long, least long").groupBy("node", "least").agg(F.sum("links").alias("links")))
+    component = connected_components(linked.select(F.col("node").alias("a"), F.col("least").alias("b")))
+    links = linked.groupBy("node").agg(F.sum("links").alias("links"))
+    named = materialize(component.join(reps.select("node", "rep"), "node"))
+    first = materialize(named.groupBy("component").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("size")))
+    chosen = hot_join(named.select("component", "node"), first, "component", "size", max(1000, named.count() // 2000), "node").select("node", "first")
+    nodes = reps.select("content", "node", "rep", "n").join(links, "node", "left").join(chosen, "node", "left")
     found = signed.select("vec_id", "content").join(nodes, "content", "left")
     named = F.col("vec_id").isNotNull()
     return found.select(
         "vec_id",
         F.when(named & F.col("rep").isNotNull(), F.col("n") - 1 + F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"),
-        F.when(named, F.coalesce("component", "rep", "vec_id")).alias("component_id"),
+        F.when(named, F.coalesce("first", "rep", "vec_id")).alias("component_id"),
     ).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
