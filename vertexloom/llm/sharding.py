@@ -6,9 +6,9 @@ and one more shard takes rows only into itself.
 
 Defined results: the key is ``doc_id`` (null: 0), so rows with one doc_id
 share a shard; a null text has no bytes and the checksum of no bytes.  Slots
-number each shard's rows from 0 without gaps, by a fixed number of
-sub-buckets, so that no task orders a whole shard; equal rows get different
-slots.  Only ``doc_id`` and ``text`` are read.
+number each shard's rows from 0 without gaps, by sub-buckets of the rows'
+numbers in the written table, so that no task orders a whole shard, and any
+number of equal rows are spread; equal rows get different slots.  Only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import materialize
+
 #: Low, middle and high parts of the multiplier 2862933555777941757 of the jump hash.
 LOW16, NEXT16, HIGH32 = 2862933555777941757 & 0xFFFF, 2862933555777941757 >> 16 & 0xFFFF, 2862933555777941757 >> 32
 MASK16, MASK32 = 0xFFFF, 0xFFFFFFFF
@@ -47,24 +49,27 @@ def jump_hash(key: Column, shards: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(shards)), start, step, lambda s: s["b"].cast("int"))
 
 
-def gapless(rows: DataFrame, group: str, order: list[str], name: str, sub_buckets: int) -> DataFrame:
+def gapless(rows: DataFrame, group: str, name: str, least: int = 64, most_rows: int = 100_000) -> DataFrame:
     """Number each group's rows from 0 without gaps in column ``name``.
 
-    Rows are numbered inside (group, sub-bucket) windows, and a table of at
-    most groups x sub_buckets counts gives where each sub-bucket starts.  Both
-    are dealt by the same keys, so the rows are shuffled once.
+    Rows are written with a number, whose hash deals them to (group,
+    sub-bucket) windows; a table of groups x sub-buckets counts gives where
+    each sub-bucket starts.  There are ``least`` sub-buckets, or more, so that
+    a window has at most about ``most_rows`` rows.  Both sides are dealt by the
+    same keys, so the rows are shuffled once.
     """
-    rows = rows.withColumn("_sub", F.pmod(F.xxhash64(*order), F.lit(sub_buckets)))
+    rows = materialize(rows.withColumn("_row", F.monotonically_increasing_id()))
+    sub_buckets = max(least, -(-rows.count() // most_rows))
+    rows = rows.withColumn("_sub", F.pmod(F.xxhash64("_row"), F.lit(sub_buckets)))
     counts = rows.groupBy(group, "_sub").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    numbered = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(group, "_sub").orderBy(*order)) - 1)
-    return numbered.join(before, [group, "_sub"]).withColumn(name, (F.col("_before") + F.col("_rn")).cast("long")).drop("_sub", "_rn", "_before")
+    numbered = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(group, "_sub").orderBy("_row")) - 1)
+    return numbered.join(before, [group, "_sub"]).withColumn(name, (F.col("_before") + F.col("_rn")).cast("long")).drop("_sub", "_rn", "_before", "_row")
 
 
-def shard_documents(docs: DataFrame, *, shards: int = 24, sub_buckets: int = 1024) -> DataFrame:
+def shard_documents(docs: DataFrame, *, shards: int = 24) -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` per row."""
     raw = F.encode(F.coalesce("text", F.lit("")), "utf-8")
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(raw).cast("long") + 8).alias("size"), F.crc32(raw).alias("text_crc32"), jump_hash(key, shards).alias("shard"), jump_hash(key, shards + 1).alias("grown_shard"))
-    numbered = gapless(rows, "shard", ["doc_id", "text_crc32", "size"], "slot", sub_buckets)
-    return numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    return gapless(rows, "shard", "slot").select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
