@@ -6,7 +6,8 @@ the open window with the least room that fits it: a segment tree over room
 sizes tells which room sizes are open.  Full windows are sequences already.
 
 Pieces are packed in groups, which any task can do alone: by a hash of the
-piece, or by a column the caller gives (such as a stretch of a mixed order).
+piece's number in the written table, so that equal rows are spread, or by a
+column the caller gives (such as a stretch of a mixed order) and that hash.
 A group holds about ``group_rows`` pieces whatever the size of the corpus.
 
 Defined results: a null text is an empty one, which has just the end id.
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, small_batches
 
 
 class OpenWindows:
@@ -140,10 +141,10 @@ def encoder(tokenizer: str | None):
 def _pack(size: int):
     def run(key, group):
         # a fixed order first, so that a repeated task gives the same sequences
-        group = group.sort_by([(c, "ascending") for c in ("length", "doc_id", "start", "ids_crc32")])
+        group = group.sort_by([(c, "ascending") for c in ("length", "doc_id", "start", "ids_crc32", "row")])
         window, offset = best_fit_decreasing(group.column("length").to_pylist(), size)
         base = key[0].as_py() << 32
-        out = group.drop_columns(["grp", "stretch"])
+        out = group.drop_columns(["grp", "stretch", "row"])
         return out.append_column("sequence_id", pa.array([base + w for w in window], pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
 
     run.__annotations__ = {"key": tuple[pa.Scalar, ...], "group": pa.Table, "return": pa.Table}
@@ -157,9 +158,11 @@ def pack_documents(docs: DataFrame, *, size: int = 2048, end_id: int = 1, tokeni
     stretch: a column; only documents with one value of it share sequences,
     and sequence ids follow the order of its values (null first).
     """
+    small_batches(docs.sparkSession)
     source = docs.select("doc_id", "text", (F.col(stretch) if stretch else F.lit(None).cast("string")).alias("stretch"))
     kind = dict(source.dtypes)["stretch"]
-    pieces = materialize(source.mapInArrow(_pieces(tokenizer, size, end_id), f"doc_id long, stretch {kind}, start long, length long, ids_crc32 long, doc_tokens long"))
+    pieces = source.mapInArrow(_pieces(tokenizer, size, end_id), f"doc_id long, stretch {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+    pieces = materialize(pieces.withColumn("row", F.monotonically_increasing_id()))
     if stretch:
         # groups are numbered in the order of the stretches, of which the driver sees one row each
         sizes, numbered, first = pieces.groupBy("stretch").agg(F.ceil(F.count(F.lit(1)) / group_rows).alias("parts")).orderBy("stretch").collect(), [], 0
@@ -168,9 +171,9 @@ def pack_documents(docs: DataFrame, *, size: int = 2048, end_id: int = 1, tokeni
             first += parts
         groups = docs.sparkSession.createDataFrame(numbered, f"s {kind}, parts long, first long")
         pieces = pieces.join(groups, F.col("stretch").eqNullSafe(F.col("s"))).drop("s")
-        group = F.col("first") + F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("parts"))
+        group = F.col("first") + F.pmod(F.xxhash64("row"), F.col("parts"))
         pieces = pieces.withColumn("grp", group).drop("parts", "first")
     else:
         parts = max(1, -(-pieces.count() // group_rows))
-        pieces = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(parts)).cast("long"))
+        pieces = pieces.withColumn("grp", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("long"))
     return pieces.groupBy("grp").applyInArrow(_pack(size), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
