@@ -98,6 +98,28 @@ def test_long_schedules_follow_the_target_weights(weights):
     assert slot > n / 2
 
 
+def test_slots_are_those_of_a_plain_earliest_deadline_first():
+    rng = np.random.default_rng(8)
+    for weights in ({"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 1, "b": 2, "c": 4}, {"a": 1 / 3, "b": 0.123, "c": 0.5, None: 0.01}, mixing.TARGETS):
+        given = {s: mixing.exact(w) for s, w in weights.items()}
+        blocks = {s: int(rng.integers(1, 120)) for s in weights}
+        got = {}
+        for s, _, first, last, a, length, start, places in mixing.phases(blocks, given):
+            got |= {start + k // a * length + places[k % a]: s for k in range(last - first)}
+        left, want = dict(blocks), []
+        while left:  # a phase: until a source runs out
+            total, done, slot = sum(given[s] for s in left), dict.fromkeys(left, 0), 0
+            while all(done[s] < left[s] for s in left):
+                released = [s for s in left if done[s] * total // given[s] <= slot]
+                s = min(released, key=lambda s: (-(-(done[s] + 1) * total // given[s]), s is None, s or ""))
+                assert slot < -(-(done[s] + 1) * total // given[s])  # before its deadline
+                want.append(s)
+                done[s] += 1
+                slot += 1
+            left = {s: n - done[s] for s, n in left.items() if n > done[s]}
+        assert [got[i] for i in range(len(got))] == want
+
+
 def test_mix(spark, odd):
     rows = [(i, f"t{i}", s) for s, n in (("a", 300), ("b", 90), ("c", 40), (None, 33)) for i in range(n)]
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, source string, _sub int, _key int")
@@ -130,6 +152,21 @@ def test_url_rules(spark, labels):
     assert url_filter.judge_urls(pages, labels.where("false")).count() == 13 and url_filter.judge_urls(pages.where("false"), labels).count() == 0
 
 
+def test_long_and_slashed_urls(spark):
+    deep = "http://deep.com/" + "a/" * 100_000 + "5"
+    urls = [deep, deep + "/?q#f", "http://x.com/7/", "http://x.com/7//", "http://x.com/a7", "http://x.com/12x?8", "http://x.com/#9", "http://x.com/" + "9" * 40, "http://x.com", "http://x.com/3\n", "x/4", None]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    got = [r[0] for r in df.select(url_filter.named_document(url_filter.host_and_path(df["url"])[1])).collect()]
+    assert got == [5, 5, 7, None, None, 12, None, int("9" * 18), None, 3, None, None]
+
+
+def test_a_hot_host_is_dealt_out(spark):
+    pages = spark.createDataFrame([(i, f"http://{'hot' if i % 3 else f'h{i}'}.com/d/{i}", i % 2) for i in range(400)], "page_id long, url string, host int")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(0, 400, 3)], "doc_id long, quality int, toxic int")
+    plain, dealt = (sorted(map(tuple, url_filter.judge_urls(pages, labels, hot=hot).collect())) for hot in (1000, 10))
+    assert plain == dealt and len(plain) == 400
+
+
 def test_urls_match_sql(spark):
     con = duckdb.connect()
     for name in ("pages", "labels"):
@@ -166,7 +203,7 @@ def test_pipeline_stages(spark, tmp_path):
     assert sorted(r["doc_id"] for r in unique.collect()) == sorted(set(classes.values()))
     texts = {r["doc_id"]: r["text"] for r in unique.collect()}
     assert all(r["text"] == secret_scan.redacted(texts[r["doc_id"]]) and r["n_chars"] == len(r["text"]) for r in clean.collect())
-    order = {r["doc_id"]: r["position"] for r in mixing.mix_sources(clean).collect()}
+    order = {r["doc_id"]: r["position"] for r in mixing.mix_sources(clean, weights=mixing.TARGETS).collect()}
     read = [order[r["doc_id"]] for r in mixed.select("doc_id", F.col("_metadata.file_name").alias("f"), F.col("_metadata.row_index").alias("i")).orderBy("f", "i").collect()]
     assert read == sorted(order.values())
     lengths = {}
@@ -195,6 +232,21 @@ def test_packed_sequences_follow_the_mix(spark, tmp_path, files):
         assert all(abs(c - n * 1024 / 5) <= 64 for c in head) and len(head) == 5
 
 
+def test_stages_take_odd_rows(spark, odd, tmp_path):
+    for docs, want in ((odd, odd.collect()), (odd.where("false"), [])):
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, SF)  # on a frame that no file backs
+            rows = out.collect()
+            if i < 4:
+                assert out.columns == docs.columns
+            if i in (2, 3):
+                assert len(rows) == len(want)
+            if i == 2:
+                assert sorted((r["doc_id"] or -1, r["n_chars"]) for r in rows) == sorted((r["doc_id"] or -1, len(r["text"]) if r["text"] is not None else r["n_chars"]) for r in want)
+            if i == 4:
+                assert sorted({r["doc_id"] or -1 for r in rows}) == sorted({r["doc_id"] or -1 for r in want}) and sum(r["start"] == 0 for r in rows) == len(want)
+
+
 def test_pipeline_run(spark):
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert rows.count() > 0 and rows.columns[:3] == ["doc_id", "start", "length"]

@@ -25,7 +25,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "source", "block", "slot", "position")
+    return mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), weights=mixing.TARGETS).select("doc_id", "source", "block", "slot", "position")
 
 
 def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:

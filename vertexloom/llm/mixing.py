@@ -34,6 +34,8 @@ from .shared import fresh
 
 #: Rows of a block.
 BLOCK = 64
+#: Target weights of the registered mix; other sources share equally in the rest.
+TARGETS = {"src0": 0.2, "src1": 0.15, "src2": 0.1, "src3": 0.08, "src4": 0.06}
 
 
 def exact(weight) -> Fraction:
