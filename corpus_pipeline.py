@@ -2,13 +2,21 @@
 
 Each stage takes all that the stage before kept.  All but the last return the
 columns of their input; the third rewrites ``text`` and ``n_chars``.
+
+Defined results: a null text counts as an empty one; the classifier may reject
+both, no class holds them, they have no secrets (a null text stays null and
+keeps its n_chars), and they pack as the end id alone.  Rows with null or
+repeated ids are rows like others; of rows equal in doc_id and text one stays
+after the second stage.  Extra columns pass through, whatever their names.  An
+empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vertexloom.llm import minhash, mixing, packing, quality, secret_scan
@@ -29,14 +37,14 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets replaced by a mark."""
     kind = dict(docs.dtypes)["n_chars"]
-    return docs.withColumn("text", secret_scan.redact(F.col("text"))).withColumn("n_chars", F.length("text").cast(kind)).select(docs.columns)
+    return docs.withColumn("text", secret_scan.redact(F.col("text"))).withColumn("n_chars", F.coalesce(F.length("text").cast(kind), "n_chars")).select(docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the mix: files, and rows within a file,
     follow one another as the sources' blocks are scheduled."""
     names = tuple(fresh(docs, "_block", "_slot", "_position"))
-    placed = mixing.mix_sources(docs, names=names)
+    placed = mixing.mix_sources(docs, weights=mixing.TARGETS, names=names)
     return placed.repartitionByRange(names[2]).sortWithinPartitions(names[2]).select(docs.columns)
 
 
@@ -50,18 +58,33 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     files there are, so that every stretch of sequences has the mix's weights.
 
     A document's place in the stream is the rows of the files before its own,
-    plus its row in the file; the driver sees one row a file."""
+    plus its row in the file; the driver sees one row a file.  Rows that do not
+    come from files alone are in the order of their partitions."""
     stretch, name, before = fresh(docs, "_stretch", "_file", "_before")
-    files, starts, at = docs.groupBy(F.col("_metadata.file_name").alias(name)).count().collect(), [], 0
+    placed, part, row = _rows_in_order(docs, stretch)
+    files, starts, at = placed.groupBy(part.alias(name)).count().collect(), [], 0
     for file, n in sorted(files):
         starts.append((file, at))
         at += n
     ahead = spark.createDataFrame(starts, f"{name} string, {before} long")
-    placed = docs.select(*docs.columns, F.col("_metadata.file_name").alias(name), F.col("_metadata.row_index").alias(stretch)).join(F.broadcast(ahead), name)
+    placed = placed.select(*docs.columns, part.alias(name), row.alias(stretch)).join(F.broadcast(ahead), name)
     place = F.floor((F.col(before) + F.col(stretch)) / (STRETCH_SLOTS * mixing.BLOCK)).cast("long")
     return packing.pack_documents(placed.withColumn(stretch, place), stretch=stretch)
 
 
+def _rows_in_order(docs: DataFrame, number: str) -> tuple[DataFrame, Column, Column]:
+    """``docs``, the part that each row is in (parts sort as strings), and its
+    number there."""
+    try:
+        part, row = F.col("_metadata.file_name"), F.col("_metadata.row_index")
+        docs.select(part, row)
+        return docs, part, row
+    except AnalysisException:
+        # the number is fixed once it is written: 33 bits of row below the partition
+        docs = materialize(docs.withColumn(number, F.monotonically_increasing_id()))
+        return docs, F.lpad(F.shiftright(number, 33).cast("string"), 10, "0"), F.col(number).bitwiseAND(F.lit((1 << 33) - 1))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality classifier", good_quality),
     ("MinHash near-dedup", one_of_each),
