@@ -15,10 +15,12 @@ not used; without any usable label every score is 0.5.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,11 +38,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, chars: int) -> pd.DataFrame:
-    """``text, y`` of at most ``rows`` labelled documents outside the held-out
-    fifth, in the order of a hash of doc_id, as far as their texts have at
-    most ``chars`` characters together.  Both bounds hold before texts leave the executors, so
-    what is broadcast and collected does not grow.  A repeated row counts once."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, chars: int) -> DataFrame:
+    """``place, text, y`` of at most ``rows`` labelled documents outside the
+    held-out fifth, in the order of a hash of doc_id, as far as their texts have
+    at most ``chars`` characters together.  A repeated row counts once.  The
+    driver sees at most ``rows`` ids and sizes, and no text."""
     usable = labels.where(~held_out(F.col("doc_id")) & F.col(label).isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
     order = F.xxhash64("doc_id", F.lit(label))
     chosen = usable.withColumn("_o", order).orderBy("_o", "doc_id").limit(rows)
@@ -51,12 +53,24 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, c
         if total + r["size"] <= chars:
             total += r["size"]
             picked[r["doc_id"], r["crc"]] = r["y"]
-    if not picked:
-        return pd.DataFrame({"text": [], "y": []})
     wanted = docs.sparkSession.createDataFrame([(*k, i, y) for i, (k, y) in enumerate(picked.items())], "doc_id long, crc long, place long, y int")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", crc).join(F.broadcast(wanted), ["doc_id", "crc"])
-    kept = {r["place"]: (r["text"], r["y"]) for r in texts.select("place", "text", "y").dropDuplicates(["place"]).collect()}
-    return pd.DataFrame([kept[i] for i in sorted(kept)], columns=["text", "y"])
+    return texts.select("place", "text", "y").dropDuplicates(["place"])
+
+
+def fitted(sample: DataFrame, train: Callable[[pd.DataFrame], object]) -> object:
+    """What ``train`` makes of the whole sample (text, y).  It runs in one task,
+    to which the bounded sample is sent, so neither texts nor training weigh on
+    the driver, and a lost executor costs a retry."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [batch.to_pandas() for batch in batches]
+        if rows:
+            model = train(pd.concat(rows).sort_values("place", ignore_index=True))
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    found = sample.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0][0]) if found else train(pd.DataFrame({"text": [], "y": []}))
 
 
 def features(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -129,7 +143,7 @@ def quality_score(docs: DataFrame, labels: DataFrame, *, rows: int = 3000, chars
     """A function from a text column to its score, fitted on at most ``rows``
     labelled rows of at most ``chars`` characters together."""
     small_batches(docs.sparkSession)
-    model = docs.sparkSession.sparkContext.broadcast(train(labelled_sample(docs, labels, "quality", rows, chars)))
+    model = docs.sparkSession.sparkContext.broadcast(fitted(labelled_sample(docs, labels, "quality", rows, chars), train))
 
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:

@@ -103,16 +103,18 @@ def hot_join(rows: DataFrame, table: DataFrame, key: str, size: str, most: int,
 
 
 #: Least degree of a hub, and the most hubs there can be: 2 * edges / (edges * 2 / HUBS).
-HUB, HUBS = 10_000, 2000
+HUB, HUBS = 100_000, 2000
 
 
-def _with_least(rows: DataFrame, key: str, value: str, most: int) -> DataFrame:
+def _with_least(rows: DataFrame, key: str, value: str, most: int | None) -> DataFrame:
     """``rows`` and the least ``value`` of their ``key`` as column m.
 
     Minima are aggregated before the shuffle.  Keys with more than ``most``
     rows (at most ``HUBS``) have their minimum broadcast, so their rows stay
-    where they are; the others are joined.
+    where they are; the others are joined.  most: null if no key has so many.
     """
+    if most is None:
+        return rows.join(rows.groupBy(key).agg(F.min(value).alias("m")), key)
     least = rows.groupBy(key).agg(F.min(value).alias("m"), F.count(F.lit(1)).alias("d"))
     hubs = least.where(F.col("d") > most).select(key, F.col("m").alias("hub"))
     tagged = rows.join(F.broadcast(hubs), key, "left")
@@ -120,7 +122,7 @@ def _with_least(rows: DataFrame, key: str, value: str, most: int) -> DataFrame:
     return tagged.where("hub is not null").withColumnRenamed("hub", "m").unionByName(rest)
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, *, hub: int = HUB) -> DataFrame:
     """``(node, component)`` for every node of ``edges(a, b)``; the component
     is its smallest node.
 
@@ -131,7 +133,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = materialize(edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where("lo < hi").distinct())
     mark = _checksum(now)
     while True:
-        most = max(HUB, 2 * mark[0] // HUBS)
+        most = max(hub, 2 * mark[0] // HUBS) if mark[0] > hub else None
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         large = _with_least(both, "u", "v", most).where("v > u").select(F.col("v").alias("hi"), F.least("u", "m").alias("lo")).distinct()
         small = _with_least(large, "hi", "lo", most)
