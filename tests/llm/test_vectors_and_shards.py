@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from vertexloom.llm import catalog, embed_dedup, sharding
+from vertexloom.llm import catalog, embed_dedup, shared, sharding
 
 
 def components(n, pairs):
@@ -69,6 +69,17 @@ def test_registered_tables_miss_few_links(spark, vectors):
     assert sum(r["n_links"] for r in embed_dedup.near_vectors(df).collect()) >= 0.995 * links
 
 
+def test_components_with_hubs(spark):
+    rng = np.random.default_rng(9)
+    pairs = [(0, i) for i in range(3, 200)] + [(500 - i, 700) for i in range(60)] + [tuple(map(int, rng.integers(800, 1000, 2))) for _ in range(90)] + [(199, 700), (5, 5)]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    want = components(1000, pairs)
+    touched = {x for a, b in pairs if a != b for x in (a, b)}
+    for hub in (20, 100_000):
+        got = {r["node"]: r["component"] for r in shared.connected_components(edges, hub=hub).collect()}
+        assert got == {x: want[x] for x in touched}
+
+
 def jump(key, n):
     key &= 0xFFFFFFFFFFFFFFFF
     b, j = -1, 0
@@ -108,8 +119,6 @@ def test_native_plans_have_no_python(spark, sf):
 
 
 def test_release_deletes_what_was_written(spark):
-    from vertexloom.llm import shared
-
     df = shared.materialize(spark.range(3))
     path = shared._written[-1].removeprefix("file://")
     assert df.count() == 3 and os.path.isdir(path)

@@ -13,6 +13,8 @@ highest window under the current model (and a random one of clean documents).
 The weights over windows are fitted on a fifth of the sample that the network
 does not see.
 
+A long text is scored piece by piece, with the windows of the whole.
+
 Defined results: a null text is an empty one, and a text without words has the
 score of a window without words.  Rows are scored one by one, whatever their
 ids.  Without usable labels every score is 0.5 or near.
@@ -27,8 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .quality import held_out, labelled_sample
-from .shared import slices
+from .quality import fitted, held_out, labelled_sample
+from .shared import slices, small_batches
 from .textvec import U, Words, words_of
 
 WIDTH, STEP = 32, 16
@@ -40,6 +42,9 @@ GRAM, MULTIPLIERS = 5, (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 DIM_WORD, DIM_CHAR, HIDDEN = 12, 8, 10
 #: Window logits count up to this size.
 CAP = 8.0
+#: How much a toxic text may weigh against a clean one when window weights are
+#: fitted: the first of these at which so many clean texts are left alone.
+LEANS, LEFT_ALONE = (5.0, 3.0, 2.0, 1.0), 0.97
 #: Windows that run through the network at once.
 BATCH = 4096
 
@@ -203,21 +208,64 @@ def highest(doc: np.ndarray, logit: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+#: Bytes of a text that are scored at once.
+PIECE = 1 << 18
+
+
+def pieces(words: str) -> Iterator[str]:
+    """``words`` (joined by single spaces) in parts whose windows are together
+    just the windows of the whole."""
+    data = words.encode("utf-8", "surrogatepass")
+    if len(data) <= PIECE:
+        yield words
+        return
+    ends = np.append(np.flatnonzero(np.frombuffer(data, np.uint8) == 32), len(data))
+    at, n = 0, len(ends)
+    while True:
+        begin = int(ends[at - 1]) + 1 if at else 0
+        steps = max(1, (int(np.searchsorted(ends, begin + PIECE)) - at - WIDTH) // STEP + 1)
+        last = at + WIDTH + STEP * (steps - 1)  # of so many full windows
+        yield data[begin : int(ends[min(last, n) - 1])].decode("utf-8", "surrogatepass")
+        if last >= n:
+            return
+        at += steps * STEP
+
+
 def scores(model: Model, texts: list[str | None]) -> np.ndarray:
     out = np.empty(len(texts))
     for lo, hi in slices(texts):
-        doc, logit = window_logits(model, Tokens(texts[lo:hi], model["vocabulary"]))
-        out[lo:hi] = sigmoid(highest(doc, logit, hi - lo) @ model["top"])
+        parts = [(i, p) for i, t in enumerate(texts[lo:hi]) for p in pieces(words_of(t))]
+        docs, logits, group, size = [], [], [], 0
+        for k, (i, part) in enumerate(parts):
+            group.append((i, part))
+            size += len(part)
+            if size >= PIECE or k == len(parts) - 1:
+                doc, logit = window_logits(model, Tokens([p for _, p in group], model["vocabulary"]))
+                docs.append(np.array([i for i, _ in group])[doc])
+                logits.append(logit)
+                group, size = [], 0
+        out[lo:hi] = sigmoid(highest(np.concatenate(docs), np.concatenate(logits), hi - lo) @ model["top"])
     return out
 
 
-def fit_top(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def fit_top(x: np.ndarray, y: np.ndarray, lean: float = 1.0) -> np.ndarray:
     """Logistic weights over the highest windows, by gradient descent with a
-    small ridge towards the highest window alone."""
+    small ridge towards the highest window alone.  lean: how much a toxic text
+    weighs against a clean one."""
     start = np.array([1.0, 0, 0, 0])
-    w = start.copy()
+    w, weight = start.copy(), np.where(y > 0, lean, 1.0)
+    weight = weight / weight.sum()
     for _ in range(3000):
-        w -= 0.02 * (x.T @ (sigmoid(x @ w) - y) / len(y) + 0.002 * (w - start))
+        w -= 0.02 * (x.T @ (weight * (sigmoid(x @ w) - y)) + 0.002 * (w - start))
+    return w
+
+
+def lean_top(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``fit_top`` by the strongest of ``LEANS`` that leaves clean texts alone."""
+    for lean in LEANS:
+        w = fit_top(x, y, lean)
+        if (x[y == 0] @ w < 0).mean() >= LEFT_ALONE:
+            break
     return w
 
 
@@ -298,7 +346,7 @@ def train(sample: pd.DataFrame, *, epochs: int = 8, batch: int = 128, rate: floa
             adam.apply(model, grad | {"word": word_grad, "char": char_grad}, {"word": word_rows, "char": char_rows})
     if tops.y.nunique() == 2:
         told = window_logits(model, Tokens(tops.text.tolist(), model["vocabulary"]))
-        model["top"] = fit_top(highest(*told, len(tops)), tops.y.to_numpy())
+        model["top"] = lean_top(highest(*told, len(tops)), tops.y.to_numpy())
     return model
 
 
@@ -323,7 +371,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, rows: int = 3000, char
     """``doc_id, held_out, score, predicted`` for each row of ``docs``, by a
     model fitted on at most ``rows`` labelled rows of at most ``chars``
     characters together."""
-    model = docs.sparkSession.sparkContext.broadcast(train(labelled_sample(docs, labels, "toxic", rows, chars)))
+    small_batches(docs.sparkSession)
+    model = docs.sparkSession.sparkContext.broadcast(fitted(labelled_sample(docs, labels, "toxic", rows, chars), train))
 
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
