@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,7 +48,8 @@ def test_search_is_or(scored):
     assert ids(Search(scored, E).where(type_("*")).clear().run()) == []
     assert ids(Search(scored, E).run()) == []
     assert len(ids(Search(scored, E, offset=1).where(type_("*")).run())) == 2
-    assert len(Search(scored, E).where(type_("*")).start().result()) == 3
+    assert Search(scored, E).where(type_("*")).start().result().count() == 3
+    assert [len(b) for b in Search(scored, E).where(type_("*")).batches(2)] == [2, 1]
     with pytest.raises(ValueError):
         a + Search(scored, NodeClass.ACTION)
 
@@ -61,6 +64,13 @@ def test_fold_matches_the_driver(spark):
     words = ["Éléphant", "ÑANDÚ", "Größe", "naïve", "plain", "Ångström", "éte"]
     rows = spark.createDataFrame([(w,) for w in words], "w string").select(text.fold_column(F.col("w"))).collect()
     assert [r[0] for r in rows] == [text.fold(w) for w in words]
+    # every assigned character of the basic plane, as literal and as column
+    chars = [chr(i) for i in range(0x20, 0x10000) if unicodedata.category(chr(i)) not in ("Cn", "Cs", "Co")]
+    parts = ["".join(chars[i : i + 50]) for i in range(0, len(chars), 50)]
+    rows = spark.createDataFrame(list(enumerate(parts)), "i int, w string").select("i", text.fold_column(F.col("w")).alias("w")).collect()
+    other = [(p, text.fold(parts[p]), w) for p, w in rows if text.fold(parts[p]) != w]
+    assert sum(abs(len(a) - len(b)) + sum(x != y for x, y in zip(a, b)) for _, a, b in other) <= 120, other  # letters whose case the two Unicode versions tell apart
+    assert text.fold("가나 がく é ДЁМ") == "가나 かく e дем"
 
 
 def test_like_escapes(spark):
@@ -73,6 +83,9 @@ def test_like_escapes(spark):
 
 def test_fnv_and_names(spark):
     assert text.fnv1a("") == "cbf29ce484222325" and text.fnv1a("a") == "af63dc4c8601ec8c"
+    many = ["a", "", "é", None, "longer than most", "b"]
+    rows = spark.createDataFrame([(i, w) for i, w in enumerate(many)], "i int, w string").select("i", text.fnv1a_column(F.col("w")).alias("h")).collect()
+    assert {r["i"]: r["h"] for r in rows} == {i: None if w is None else text.fnv1a(w) for i, w in enumerate(many)}
     row = spark.createDataFrame([("a",)], "w string").select(text.fnv1a_column(F.col("w"))).first()
     assert row[0] == "af63dc4c8601ec8c"
 

@@ -164,6 +164,87 @@ def test_watch_streams_what_the_batch_gives(spark, tmp_path):
     assert [(r["event_kind"], r["source"]) for r in got] == [("insertedEntity", "cloud"), ("deletedEntity", "local")]
 
 
+def test_watch_sees_old_and_new_states(spark, tmp_path):
+    log, got = str(tmp_path / "log"), []
+    old, new = people(spark, [("a", "x", None), ("b", "y", None)]), people(spark, [("b", "y", None)])
+    _log(spark, [(1, "r", "delete", "u1", "1Personpa"), (1, "r", "update", "u2", "1Personpb"), (1, "r", "insert", "u3", "1Personpb"), (2, "r", "delete", "u3", "1Personpb"), (2, "r", "update", "u4", "1Otherp1")]).write.parquet(log)
+    watch = feed.Watch(spark, log, str(tmp_path / "ck"), lambda df, n: got.extend((r["op"], r["owner_id"]) for r in df.collect()), "me", nodes=lambda: new, before=lambda: old, superseded=True, predicate=type_("person"))
+    watch.drain().pause()
+    assert sorted(got) == [("delete", "1Personpa"), ("delete", "1Personpb")]
+    # without an old state a deletion of what is gone is not withheld, and nothing else of it comes
+    rows = feed.events(_log(spark, [(1, "r", "delete", "u1", "1Personpa"), (1, "r", "insert", "u5", "1Personpa"), (1, "r", "insert", "u2", "1Personpb"), (1, "r", "delete", "u9", None)]))
+    assert sorted((r["op"], r["owner_id"] or "") for r in feed.matching(rows, new, type_("person")).collect()) == [("delete", ""), ("delete", "1Personpa"), ("insert", "1Personpb")]
+
+
+def test_report_gate_withholds_a_batch(spark, tmp_path):
+    log, got, valid = str(tmp_path / "log"), [], [False]
+    nodes = people(spark, [("a", "x", None), ("b", "y", None)])
+    _log(spark, [(1, "r", "insert", "u1", "1Personpa"), (2, "me", "insert", "u2", "1Personpb")]).write.parquet(log)
+    verdicts = lambda owners: owners.select(F.col("id").alias("root"), ((F.col("id") != "1Personpa") | F.lit(valid[0])).alias("valid"))
+    watch = feed.Watch(spark, log, str(tmp_path / "ck"), lambda df, n: got.extend(df.collect()), "me", nodes=nodes, valid=verdicts)
+    with pytest.raises(Exception, match="batch 0"):
+        watch.drain()
+    assert got == []
+    valid[0] = True
+    watch.resume().drain().pause()
+    assert len(got) == 2
+    missing = feed.resolved(feed.with_source(feed.events(_log(spark, [(1, "r", "insert", "u", "gone"), (1, "r", "insert", "v", "1Personpa"), (2, "me", "insert", "w", "gone"), (2, "me", "insert", "w2", "1Personpb")])), "me"), nodes)
+    told = sorted((r["object_uri"], r["gate"]) for r in feed.gated(missing, nodes.select(F.col("id").alias("root"), F.lit(True).alias("valid"))).collect())
+    assert told == [("u", "withheld"), ("v", "withheld"), ("w", "dropped"), ("w2", "delivered")]
+
+
+def test_orders_of_a_bulk_transaction(spark, sf):
+    from vertexloom.sources import ingest
+    from vertexloom.sources.lineage import numbered
+
+    log = ingest.changes(spark, sf, tx_rows=400)
+    for order in (feed.change_order, lambda c, **k: feed.ordered(feed.events(c), **k)):
+        plain, dealt = (sorted((r["tx"], r["change_index"], r["position"]) for r in order(log, most_rows=n).collect()) for n in (10**6, 100))
+        assert plain == dealt and len(plain) > 500
+    placed = numbered(spark.range(1000).select(F.pmod(F.col("id") * 7919, F.lit(1000)).alias("k")).repartition(5), ["k"], "at").collect()
+    assert all(r["k"] == r["at"] for r in placed)
+
+
+def test_a_version_and_its_changes_are_one(spark, tmp_path, monkeypatch):
+    store = GraphStore.open(spark, str(tmp_path / "s"))
+    first = people(spark, [("a", "x", None)])
+    monkeypatch.setattr("vertexloom.sources.store.diff", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        store.transaction(lambda n: mutate.create(n, first))
+    assert store.version == 0 and store.nodes().count() == 0 and store.changes().count() == 0
+    monkeypatch.undo()
+    store.transaction(lambda n: mutate.create(n, first))
+    assert store.version == 1 and store.changes().where("part = 'node'").count() == 1 and store.changes(1).count() == 0
+    from vertexloom.sources.store import StoreBusy
+
+    with pytest.raises(StoreBusy):
+        store.read_snapshot(lambda n: store.read_snapshot(lambda m: 0))
+
+
+def test_chooser_must_choose_a_member(spark, doubled):
+    key = dedup.field_key(KEY)
+    last = dedup.chosen(doubled, key, {}, lambda a, b: b)
+    assert sorted(tuple(r) for r in last.collect()) == [("1Personpa", "1Personpc"), ("1Personpb", "1Personpc")]
+    with pytest.raises(Exception, match="InvalidSurvivor"):
+        dedup.chosen(doubled, key, {}, lambda a, b: None).collect()
+
+
+def test_feed_calls_that_come_late_are_run(spark, tmp_path):
+    from vertexloom.streaming.cursor import Feed
+
+    rows, seen = [(1, "r", "insert", "a", "a")], []
+
+    def deliver(df, gap):
+        seen.append(df.count())
+        if len(seen) == 1:
+            rows.append((2, "r", "insert", "b", "b"))
+            watch.drain()  # while it runs: only noted
+
+    watch = Feed(lambda: _log(spark, rows), str(tmp_path), "s", "me", lambda df: None, deliver)
+    watch.drain()
+    assert seen == [1, 1] and not watch._running
+
+
 def test_failed_delivery_is_repeated(spark, tmp_path):
     log, got, fail = str(tmp_path / "log"), [], [True]
     _log(spark, [(1, "r", "insert", "u1", "x")]).write.parquet(log)

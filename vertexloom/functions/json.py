@@ -6,6 +6,8 @@ parses to null.  Two values are equal if their strings are (so 1 equals "1").
 
 from __future__ import annotations
 
+from json import dumps, loads
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,9 +36,42 @@ def member(value: Column, key: str) -> Column:
     return F.try_variant_get(value, f'$["{escaped}"]', "variant")
 
 
+def kind_of(value: Column) -> Column:
+    """``string``, ``bool``, ``int``, ``double``, ``array`` or ``object``; null
+    for anything else."""
+    schema = F.schema_of_variant(value)
+    known = (("STRING", "string"), ("BOOLEAN", "bool"), ("BIGINT", "int"), ("DECIMAL", "double"), ("DOUBLE", "double"), ("FLOAT", "double"), ("ARRAY", "array"), ("OBJECT", "object"))
+    kind = F.lit(None).cast("string")
+    for start, name in known:
+        kind = F.when(F.startswith(schema, F.lit(start)), name).otherwise(kind)
+    return kind
+
+
 def typed(value: Column, kind: str) -> Column:
-    """The value as a Spark type; null where it is of another kind."""
-    return F.try_variant_get(value, "$", kind)
+    """The value as a Spark type; null where it is of another kind.  A whole
+    number counts as any number, a fraction as no whole number."""
+    found, got = kind_of(value), F.try_variant_get(value, "$", kind)
+    if kind in ("tinyint", "smallint", "int", "integer", "long", "bigint"):
+        return F.when((found == "int") | ((found == "double") & (F.try_variant_get(value, "$", "double") == got)), got)
+    if kind in ("float", "double") or kind.startswith("decimal"):
+        return F.when(found.isin("int", "double"), got)
+    return F.when(found == {"boolean": "bool"}.get(kind, kind), got) if kind in ("string", "boolean") else got
+
+
+def literal(value) -> Column:
+    """A JSON value of None, a string, number, bool, list or dict; a Column is
+    a value already."""
+    return value if isinstance(value, Column) else F.parse_json(F.lit(dumps(value)))
+
+
+def is_null(value: Column) -> Column:
+    """Whether there is no value, or the value null."""
+    return value.isNull() | F.is_variant_null(value)
+
+
+def description(text: str) -> str:
+    """JSON text laid out over lines, members in order of their names."""
+    return dumps(loads(text), indent=2, sort_keys=True, ensure_ascii=False)
 
 
 def equal(left: Column, right: Column) -> Column:

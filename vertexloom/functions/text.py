@@ -9,18 +9,30 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def fold(text: str) -> str:
-    """``text`` in lower case without diacritics (for literals)."""
-    return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
+@cache
+def _table() -> tuple[str, str]:
+    """Lower-case letters with marks and their base letters, then combining
+    marks (dropped).  Literals and columns are folded by this one table; it
+    holds every character of the basic plane that decomposes to one character
+    and marks.  Hangul syllables are letters of their own."""
+    plain, pairs, marks = lambda c: "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x)), [], []
+    for c in map(chr, [*range(0x80, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, 0x10000)]):
+        if unicodedata.combining(c):
+            marks.append(c)
+        elif len(base := plain(c)) == 1 and base != c:
+            pairs.append((c, base))
+    return "".join(c for c, _ in pairs) + "".join(marks), "".join(b for _, b in pairs)
 
 
 @cache
-def _table() -> tuple[str, str]:
-    """Accented letters and their base letters, then combining marks (dropped)."""
-    letters = [(chr(i), fold(chr(i))) for i in [*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)]]
-    pairs = [(c, b) for c, b in letters if len(b) == 1 and b != c]
-    marks = "".join(chr(i) for i in range(0x300, 0x370) if unicodedata.combining(chr(i)))
-    return "".join(c for c, _ in pairs) + marks, "".join(b for _, b in pairs)
+def _map() -> dict[int, str | None]:
+    letters, bases = _table()
+    return {ord(c): bases[i] if i < len(bases) else None for i, c in enumerate(letters)}
+
+
+def fold(text: str) -> str:
+    """``text`` in lower case without diacritics (for literals)."""
+    return text.lower().translate(_map())
 
 
 def fold_column(text: Column) -> Column:
@@ -63,10 +75,22 @@ def fnv1a_column(text: Column) -> Column:
     """The same for a column.  64-bit wrapping products are no built-in, so
     this one runs as an Arrow-batched function; use xxhash64 where the value
     need not equal stored ones."""
+    import numpy as np
     import pandas as pd
 
     def run(values):
-        return values.map(lambda v: None if v is None else fnv1a(v))
+        # all values advance together, a byte at a time, the longest last
+        data = [v.encode() if isinstance(v, str) else b"" for v in values]
+        lengths = np.array([len(x) for x in data], np.int64)
+        order = np.argsort(-lengths, kind="stable")
+        starts, flat = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(data), np.uint8)
+        h, many = np.full(len(data), 14695981039346656037, np.uint64), len(data)
+        for at in range(int(lengths.max(initial=0))):
+            while lengths[order[many - 1]] <= at:
+                many -= 1
+            on = order[:many]
+            h[on] = (h[on] ^ flat[starts[on] + at]) * np.uint64(1099511628211)
+        return pd.Series([None if v is None else f"{x:016x}" for v, x in zip(values, h.tolist())], dtype=object)
 
     run.__annotations__ = {"values": pd.Series, "return": pd.Series}
     return F.pandas_udf(run, "string")(text)

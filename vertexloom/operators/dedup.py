@@ -1,15 +1,17 @@
 """Deduplication of entities by a key, with their links rewired.
 
-Everything is set-oriented: groups are windows, the map from duplicates to
+Everything is set-oriented: groups are aggregates, the map from duplicates to
 survivors is a table, and links are rewired by joins with it.  Orders the
 result depends on are string orders of ids.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, fields
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fold_column
@@ -45,7 +47,38 @@ def keyed(nodes: DataFrame, key: Column) -> DataFrame:
 
 def duplicate_groups(nodes: DataFrame, key: Column) -> DataFrame:
     """(type, namespace, value, members) of keys with several entities."""
-    return keyed(nodes, key).where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key.*", "members")
+    return keyed(nodes, key).where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key.*", "members").orderBy("type", "namespace", "value")
+
+
+class InvalidSurvivor(ValueError):
+    pass
+
+
+def chosen(nodes: DataFrame, key: Column, values: dict[str, Column], choose: Callable[[dict, dict], dict]) -> DataFrame:
+    """(id, survivor) for each duplicate; the survivor of a group is the left
+    fold of ``choose`` over its members in the order of ids.
+
+    A member is a dictionary of its id and ``values``.  A fold that is not
+    associative needs a group's members one after another, so each group is one
+    task's stream of these few values; a rule that is an order is better given
+    to ``replacements``.  Raises InvalidSurvivor if neither member is chosen.
+    """
+    members = keyed(nodes, key).where("key is not null").select("id", "key", *(c.alias(n) for n, c in values.items()))
+    doubled = members.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "key").drop("_n")
+
+    def fold(_, group):
+        rows = group.drop_columns(["key"]).sort_by("id").to_pylist()
+        best = rows[0]
+        for row in rows[1:]:
+            found = choose(best, row)
+            if found is None or found.get("id") not in (best["id"], row["id"]):
+                raise InvalidSurvivor(f"neither {best['id']} nor {row['id']} was chosen")
+            best = best if found["id"] == best["id"] else row
+        gone = [r["id"] for r in rows if r["id"] != best["id"]]
+        return pa.table({"id": pa.array(gone, pa.string()), "survivor": pa.array([best["id"]] * len(gone), pa.string())})
+
+    fold.__annotations__ = {"_": tuple[pa.Scalar, ...], "group": pa.Table, "return": pa.Table}
+    return doubled.groupBy("key").applyInArrow(fold, "id string, survivor string")
 
 
 def replacements(nodes: DataFrame, key: Column, prefer: list[Column] | None = None) -> DataFrame:
@@ -77,7 +110,15 @@ def rewired_relationships(nodes: DataFrame, mapping: DataFrame) -> DataFrame:
     full = relationships(nodes).where("subject_id is not null and object_id is not null").select("id", "type", "subject_id", "object_id")
     s, o = mapping.select(F.col("id").alias("subject_id"), F.col("survivor").alias("s")), mapping.select(F.col("id").alias("object_id"), F.col("survivor").alias("o"))
     moved = full.join(s, "subject_id", "left").join(o, "object_id", "left").select("id", "type", F.coalesce("s", "subject_id").alias("subject_id"), F.coalesce("o", "object_id").alias("object_id"), (F.col("s").isNotNull() | F.col("o").isNotNull()).alias("changed"))
-    return moved.withColumn("first", F.row_number().over(Window.partitionBy("type", "subject_id", "object_id").orderBy("id")) == 1)
+    return _with_first(moved, "type", "subject_id", "object_id")
+
+
+def _with_first(moved: DataFrame, *key: str) -> DataFrame:
+    """``moved`` with ``first``: whether the row has the least id of its key.
+    Least ids are aggregated before the shuffle and joined by id, so the rows
+    of a frequent key never meet in one task."""
+    least = moved.groupBy(*key).agg(F.min("id").alias("id")).select("id", F.lit(True).alias("_first"))
+    return moved.join(least, "id", "left").withColumn("first", F.coalesce("_first", F.lit(False))).select(*moved.columns, "first")
 
 
 def rewired_actions(nodes: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -93,8 +134,7 @@ def rewired_actions(nodes: DataFrame, mapping: DataFrame) -> DataFrame:
     )
     none = F.array().cast("array<string>")
     moved = a.select("id", "type").join(ends, "id", "left").select("id", "type", F.coalesce("s", none).alias("s"), F.coalesce("o", none).alias("o"), F.coalesce("changed", F.lit(False)).alias("changed"))
-    ordered = moved.withColumn("first", F.row_number().over(Window.partitionBy("type", "s", "o").orderBy("id")) == 1)
-    return ordered.select("id", "type", F.array_distinct("s").alias("subject_ids"), F.array_distinct("o").alias("object_ids"), "changed", "first")
+    return _with_first(moved, "type", "s", "o").select("id", "type", F.array_distinct("s").alias("subject_ids"), F.array_distinct("o").alias("object_ids"), "changed", "first")
 
 
 @dataclass

@@ -83,3 +83,23 @@ def delete(nodes: DataFrame, ids: DataFrame) -> DataFrame:
     ends = F.array_union(F.array_union("subject_ids", "object_ids"), F.array_compact(F.array("subject_id", "object_id")))
     touched = left.where(F.col("node_class") != int(NodeClass.ENTITY)).select(F.col("id").alias("edge"), F.explode(ends).alias("id")).join(entity_ids, "id", "left_semi").select(F.col("edge").alias("id")).distinct()
     return left.join(touched, "id", "left_anti")
+
+
+def property_text(p: Column) -> Column:
+    """A property's value as text; null if it has none."""
+    return F.coalesce(p["s"], p["l"].cast("string"), p["n"].cast("string"), p["d"].cast("string"), F.base64(p["b"]), p["j"].cast("string"))
+
+
+def properties_map() -> Column:
+    """Name to value, as text; of repeated names the last counts."""
+    names = F.array_distinct(F.transform("props", lambda p: p["name"]))
+    return F.map_from_arrays(names, F.transform(names, lambda n: property_text(F.element_at(F.filter("props", lambda p: p["name"] == n), -1))))
+
+
+def description() -> Column:
+    """One line about a node: its class, id, type, labels, properties, ends and date."""
+    listed = lambda c: F.concat(F.lit("["), F.array_join(c, ", "), F.lit("]"))
+    pairs = F.transform(F.map_entries(properties_map()), lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit("nil"))))
+    ends = F.when(F.col("node_class") == 2, F.concat(F.lit(", subject: "), F.coalesce("subject_id", F.lit("nil")), F.lit(", object: "), F.coalesce("object_id", F.lit("nil"))))
+    ends = ends.when(F.col("node_class") == 3, F.concat(F.lit(", subjects: "), listed(F.col("subject_ids")), F.lit(", objects: "), listed(F.col("object_ids")))).otherwise("")
+    return F.concat(F.lit("[nodeClass: "), F.col("node_class").cast("string"), F.lit(", id: "), F.col("id"), F.lit(", type: "), F.col("type"), F.lit(", tags: "), listed(F.col("tags")), F.lit(", groups: "), listed(F.col("groups")), F.lit(", properties: "), listed(pairs), ends, F.lit(", createdDate: "), F.coalesce(F.col("created_date").cast("string"), F.lit("nil")), F.lit("]"))

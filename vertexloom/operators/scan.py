@@ -17,10 +17,29 @@ def payloads(nodes: DataFrame, sample: int | None = None) -> DataFrame:
         p = parts[0].union(parts[1]).union(parts[2])
     kind = data_kind(F.col("b"))
     raw = kind.isin("PNG (raw)", "PDF (raw)", "JPEG (raw)")
-    outcome = F.when(F.col("kind").isNull() | (F.col("kind") == "null"), "nil").when(F.col("kind") != "data", "ok").when(F.col("b").isNull(), "nil").when(raw, "raw_ok").otherwise("failure")
+    # a payload decodes if the slot of its kind holds a value; bytes of any content do
+    slot = F.when(F.col("kind").isin("string", "url"), F.col("s").isNotNull()).when(F.col("kind").isin("int", "double", "bool"), F.col("n").isNotNull()).when(F.col("kind") == "date", F.col("d").isNotNull()).when(F.col("kind").isin("array", "dict"), F.col("j").isNotNull())
+    of_data = F.when(F.col("b").isNull(), "nil").when(raw, "raw_ok").otherwise("ok")
+    outcome = F.when(F.col("kind").isNull() | (F.col("kind") == "null"), "nil").when(F.col("kind") == "data", of_data).when(F.coalesce(slot, F.lit(False)), "ok").otherwise("failure")
     return p.select(F.col("node_class").alias("family"), "name", "kind", outcome.alias("outcome"), F.when(F.col("b").isNotNull(), kind).alias("data_kind"))
 
 
+def failures(scanned: DataFrame) -> DataFrame:
+    """(name, n): how many payloads of each property do not decode."""
+    return scanned.where("outcome = 'failure'").groupBy("name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "name")
+
+
+def nested(nodes: DataFrame) -> DataFrame:
+    """(kind, n): properties that hold an array or a dictionary."""
+    return nodes.select(F.explode("props").alias("p")).where(F.col("p.kind").isin("array", "dict")).groupBy(F.col("p.kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def emptiness(nodes: DataFrame) -> DataFrame:
+    """One row: entities, relationships, actions, and whether there is nothing."""
+    n = lambda c: F.count_if(F.col("node_class") == c)
+    return nodes.agg(n(1).alias("entities"), n(2).alias("relationships"), n(3).alias("actions"), (F.count(F.lit(1)) == 0).alias("empty"))
+
+
 def totals(scanned: DataFrame) -> DataFrame:
     """One row: total, and how many are ok, failures, raw_ok and nil (these add up)."""
     n = lambda o: F.count_if(F.col("outcome") == o)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from concurrent.futures import Future, ThreadPoolExecutor
+from itertools import islice
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 
 from ..schema import NodeClass
+from ..sources.lineage import cut, numbered
 from .predicate import Predicate
 
 _pool = ThreadPoolExecutor(max_workers=4, thread_name_prefix="search")
@@ -34,11 +38,17 @@ class Search:
     def run(self) -> DataFrame:
         rows = self.nodes.where(f"node_class = {int(self.family)}")
         rows = rows.where("false") if self.predicate is None else rows.where(self.predicate.column())
-        return rows.orderBy("id").offset(self.offset) if self.offset else rows
+        return numbered(rows, ["id"], "_place").where(F.col("_place") >= self.offset).drop("_place") if self.offset else rows
 
     def start(self) -> Future:
-        """The rows, collected in the background."""
-        return _pool.submit(lambda: self.run().collect())
+        """A future of the result as a written table; no row comes to the driver."""
+        return _pool.submit(lambda: cut(self.run()))
+
+    def batches(self, size: int) -> Iterator[list[Row]]:
+        """The rows in lists of ``size``, one partition at a time."""
+        rows = self.run().toLocalIterator(prefetchPartitions=True)
+        while part := list(islice(rows, size)):
+            yield part
 
     def __add__(self, other: Search) -> Search:
         if self.family != other.family or self.nodes is not other.nodes:

@@ -91,14 +91,14 @@ def search_plus(spark, d):
 
 # --- property predicates ----------------------------------------------------
 search("pred_prop_eq_string", lambda: prop("SEGMENT") == "Building", CUSTOMER + "lower(c_mktsegment) = 'building'", "Customer")
-search("pred_prop_eq_wildcard", lambda: prop("name") == "*1?", PART + "lower(p_name) LIKE '%1_'", "Part")
+search("pred_prop_eq_wildcard", lambda: prop("name") == "*L?", PART + "lower(p_name) LIKE '%l_'", "Part")
 search("pred_prop_name_wildcard", lambda: prop("n*key") == 7, "SELECT '1Customerp' || c_custkey AS id FROM customer WHERE c_nationkey = 7", "Customer")
 search("pred_prop_eq_number", lambda: prop("size") == 15, PART + "p_size = 15", "Part")
 search("pred_prop_eq_bool", lambda: prop("vip") == True, CUSTOMER + "c_acctbal > 5000", "Customer")  # noqa: E712
 search("pred_prop_ne_string_missing", lambda: prop("segment") != "b*", f"SELECT id FROM {SMALL} WHERE NOT (t = 'customer' AND id IN (SELECT '1Customerp' || c_custkey FROM customer WHERE lower(c_mktsegment) LIKE 'b%'))", *FEW)
 search("pred_prop_ne_number_missing", lambda: prop("vip") != 0, CUSTOMER + "c_acctbal > 5000", *FEW)
 search("pred_prop_gt", lambda: prop("size") > 25, PART + "p_size > 25", "Part")
-search("pred_prop_ge", lambda: prop("retailprice") >= 1000, PART + "p_retailprice >= 1000", "Part")
+search("pred_prop_ge", lambda: prop("retailprice") >= 910, PART + "p_retailprice >= 910", "Part")
 search("pred_prop_lt", lambda: prop("acctbal") < 0, CUSTOMER + "c_acctbal < 0", "Customer")
 search("pred_prop_le", lambda: prop("size") <= 10, PART + "p_size <= 10", "Part")
 search("pred_number_on_string", lambda: prop("name") >= 1, PART + "false", "Part")
@@ -317,6 +317,17 @@ def safe_names(spark, d):
 
 
 # --- payload scan -----------------------------------------------------------
+@add("SELECT '1Blobp' || event_id AS id, CASE event_id % 4 WHEN 0 THEN 'raw_ok' WHEN 1 THEN 'ok' WHEN 2 THEN 'nil' ELSE 'failure' END AS outcome FROM events")
+def payload_outcomes(spark, d):
+    rest = F.pmod("event_id", F.lit(4))
+    blob = F.when(rest == 0, F.unhex(F.lit("255044462D312E37"))).when(rest == 1, F.col("event_type").cast("binary"))
+    rows = ingest.read(spark, d, "events")
+    lost = ingest.property_("x", F.lit(None).cast("string"), "string")
+    props = F.array(F.when(rest == 3, lost).otherwise(ingest.property_("x", blob, "data")))
+    nodes = ingest.nodes_of(rows, E, "Blob", F.col("event_id"), props=props)
+    return nodes.select("id", "node_class", "props").withColumn("props", F.transform("props", lambda p: p.withField("name", F.col("id")))).transform(scan.payloads).select(F.col("name").alias("id"), "outcome")
+
+
 @add("SELECT count(*) AS total, count(*) AS ok, 0::BIGINT AS failures, 0::BIGINT AS raw_ok, 0::BIGINT AS nil FROM (SELECT unnest(CASE WHEN c_acctbal > 5000 THEN [1,2,3,4,5] ELSE [1,2,3,4] END) FROM customer)")
 def payload_totals(spark, d):
     return scan.totals(scan.payloads(ingest.graph(spark, d, "Customer")))
@@ -364,10 +375,10 @@ NATION_KEY = {"Customer": "segment"}
 CUSTOMER_SURVIVOR = "(SELECT '1Customerp' || c_custkey AS id, min('1Customerp' || c_custkey) OVER (PARTITION BY c_mktsegment) AS survivor, c_custkey, c_nationkey FROM customer)"
 
 
-@add(f"SELECT survivor AS subject_id, '1Nationp' || c_nationkey AS object_id, count(*) AS merged, min('2inNationpc' || c_custkey) AS id FROM {CUSTOMER_SURVIVOR} GROUP BY survivor, c_nationkey")
+@add(f"SELECT survivor AS subject_id, '1Nationp' || c_nationkey AS object_id, count(*) AS merged, min('2inNationpc' || c_custkey) AS id FROM {CUSTOMER_SURVIVOR} GROUP BY survivor, c_nationkey UNION ALL SELECT '1Supplierp' || s_suppkey, '1Nationp' || s_nationkey, 1, '2inNationps' || s_suppkey FROM supplier")
 def dedup_relationships(spark, d):
     nodes = ingest.graph(spark, d, "Customer", "inNation")
-    made = dedup.rewired_relationships(nodes, dedup.replacements(nodes, dedup.field_key(NATION_KEY))).where("id like '2inNationpc%'")
+    made = dedup.rewired_relationships(nodes, dedup.replacements(nodes, dedup.field_key(NATION_KEY)))
     return made.groupBy("subject_id", "object_id").agg(F.count(F.lit(1)).alias("merged"), F.max(F.when(F.col("first"), F.col("id"))).alias("id"))
 
 
@@ -434,10 +445,10 @@ def merge_actions(spark, d):
 
 
 # --- structural validation --------------------------------------------------
-@add("SELECT '1Customerp' || c_custkey AS root, (1 + 3 + 1 + greatest(1, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey)) + 1 + 1 + (CASE WHEN c_acctbal > 5000 THEN 5 ELSE 4 END) - 1 + (3 + 2)) AS few, true AS valid FROM customer WHERE false")
+@add("SELECT '1Customerp' || c_custkey || 'x' AS root, 1::BIGINT AS few, false AS valid FROM customer")
 def validate_none(spark, d):
     nodes = ingest.graph(spark, d, "Customer")
-    found = validate.verdicts(validate.references(nodes, nodes.select("id").where("false")))
+    found = validate.verdicts(validate.references(nodes, nodes.select(F.concat("id", F.lit("x")).alias("id"))))
     return found.select("root", F.col("references").alias("few"), "valid")
 
 
@@ -464,11 +475,13 @@ def validate_action_ends(spark, d):
     return refs.groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 
-@add("SELECT '1Nationp' || n_nationkey AS root, true AS valid FROM nation")
+@add("""WITH e AS (SELECT n_nationkey AS k, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) + (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS n FROM nation)
+SELECT '1Nationp' || k AS root, relationship, CASE WHEN n = 0 AND relationship = 'relationshipObjectSet' OR relationship LIKE 'action%' THEN 'absent' ELSE 'materialized' END AS state, CASE relationship WHEN 'relationshipObjectSet' THEN greatest(n, 1) WHEN 'subject' THEN n + 1 WHEN 'object' THEN n + 1 ELSE 1 END AS n
+FROM e, (SELECT unnest(['relationshipObjectSet', 'relationshipSubjectSet', 'actionObjectSet', 'actionSubjectSet', 'subject', 'object']) AS relationship)""")
 def validate_entity(spark, d):
     nodes = ingest.graph(spark, d, *FEW, "inRegion", "inNation")
-    made = validate.verdicts(validate.references(nodes, nodes.where("type = 'Nation'").select("id")))
-    return made.select("root", "valid")
+    refs = validate.references(nodes, nodes.where("type = 'Nation'").select("id")).where("relationship is not null and relationship not in ('tagSet', 'groupSet', 'propertySet')")
+    return refs.groupBy("root", "relationship", "state").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- change feed ------------------------------------------------------------
@@ -477,7 +490,17 @@ CHANGES = """(SELECT event_id // 50 AS tx, event_id % 50 AS change_index, CASE u
  CASE event_id % 4 WHEN 0 THEN 'node' WHEN 1 THEN 'tag' WHEN 2 THEN 'group' ELSE 'property' END AS part,
  'x-store://' || CASE event_id % 4 WHEN 0 THEN 'node' WHEN 1 THEN 'tag' WHEN 2 THEN 'group' ELSE 'property' END || '/' || (event_id % 977) AS object_uri,
  CASE WHEN event_id % 29 <> 0 THEN '1Userp' || user_id END AS owner_id, CASE WHEN event_id % 4 <> 0 THEN event_type END AS name FROM events)"""
-KINDS = "(VALUES " + ", ".join(f"('{o}', {f}, '{p}', '{k}', {i})" for i, (o, f, p, k) in enumerate(feed.EVENT_KINDS)) + ") AS k(op, family, part, event_kind, rank)"
+#: The event kinds in the order of their rank.
+KINDS = """(VALUES ('insert', 1, 'node', 'insertedEntity', 0), ('insert', 1, 'property', 'addedEntityProperty', 1), ('insert', 1, 'tag', 'addedEntityTag', 2),
+ ('insert', 1, 'group', 'addedEntityToGroup', 3), ('update', 1, 'property', 'updatedEntityProperty', 4), ('delete', 1, 'property', 'removedEntityProperty', 5),
+ ('delete', 1, 'tag', 'removedEntityTag', 6), ('delete', 1, 'group', 'removedEntityFromGroup', 7), ('delete', 1, 'node', 'deletedEntity', 8),
+ ('insert', 2, 'node', 'insertedRelationship', 9), ('insert', 2, 'property', 'addedRelationshipProperty', 10), ('insert', 2, 'tag', 'addedRelationshipTag', 11),
+ ('insert', 2, 'group', 'addedRelationshipToGroup', 12), ('update', 2, 'node', 'updatedRelationship', 13), ('update', 2, 'property', 'updatedRelationshipProperty', 14),
+ ('delete', 2, 'property', 'removedRelationshipProperty', 15), ('delete', 2, 'tag', 'removedRelationshipTag', 16), ('delete', 2, 'group', 'removedRelationshipFromGroup', 17),
+ ('delete', 2, 'node', 'deletedRelationship', 18), ('insert', 3, 'node', 'insertedAction', 19), ('insert', 3, 'property', 'addedActionProperty', 20),
+ ('insert', 3, 'tag', 'addedActionTag', 21), ('insert', 3, 'group', 'addedActionToGroup', 22), ('update', 3, 'property', 'updatedActionProperty', 23),
+ ('delete', 3, 'property', 'removedActionProperty', 24), ('delete', 3, 'tag', 'removedActionTag', 25), ('delete', 3, 'group', 'removedActionFromGroup', 26),
+ ('delete', 3, 'node', 'deletedAction', 27)) AS k(op, family, part, event_kind, rank)"""
 ME = "me"
 
 
@@ -518,9 +541,9 @@ def history_summary(spark, d):
     return feed.history_summary(ingest.changes(spark, d))
 
 
-@add(f"SELECT max(tx) AS tx FROM {CHANGES}")
+@add(f"SELECT tx FROM {CHANGES} JOIN (SELECT event_id // 50 AS tx, event_id % 50 AS change_index, ts FROM events) USING (tx, change_index) ORDER BY ts DESC, tx DESC LIMIT 1")
 def history_newest(spark, d):
-    return ingest.changes(spark, d).agg(F.max("tx").alias("tx"))
+    return feed.newest_transaction(ingest.changes(spark, d))
 
 
 @add("SELECT DISTINCT user_id AS identifier, event_type AS phase FROM events")
@@ -533,3 +556,123 @@ def ledger_latest(spark, d):
     rows = ingest.read(spark, d, "events").select("user_id", F.floor(F.col("event_id") / 10).cast("long").alias("generation"), F.col("event_type").alias("device"), F.col("event_id").alias("op_id"))
     newest = rows.groupBy("user_id").agg(F.max(F.struct("generation", "device", F.col("op_id").cast("string").alias("op"), "op_id")).alias("m"))
     return newest.select("user_id", "m.generation", "m.device", "m.op_id")
+
+
+# --- states, gates and bounded history ------------------------------------------
+def _users(spark, d, tag: str, which):
+    user = mutate.property_value("user_id", "l")
+    return mutate.change_labels(ingest.graph(spark, d, "User"), "tags", mutate.add, [tag], which(user))
+
+
+@add(f"SELECT event_kind, count(*) AS n FROM {CHANGES} JOIN {KINDS} USING (op, family, part) WHERE owner_id IS NULL AND op = 'delete' OR substr(owner_id, 7)::BIGINT % 6 = 0 OR substr(owner_id, 7)::BIGINT < 5 GROUP BY event_kind")
+def watch_old_new(spark, d):
+    old = _users(spark, d, "old", lambda u: F.pmod(u, F.lit(3)) == 0)
+    new = _users(spark, d, "new", lambda u: F.lit(True)).where(F.pmod(mutate.property_value("user_id", "l"), F.lit(2)) == 0)
+    p = (has("old") & has("new")) | (prop("user_id") < 5)
+    return feed.matching(feed.events(ingest.changes(spark, d)), feed.both_states(old, new), p).groupBy("event_kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+GATED = f"""WITH e AS (SELECT *, CASE WHEN author = 'me' THEN 'local' ELSE 'cloud' END AS source FROM {CHANGES.replace('event_id // 50', 'event_id // 5').replace('event_id % 50', 'event_id % 5')} JOIN {KINDS} USING (op, family, part)),
+ d AS (SELECT DISTINCT tx, owner_id AS gone FROM e WHERE op = 'delete' AND part = 'node' AND owner_id IS NOT NULL),
+ x AS (SELECT e.*, op <> 'delete' AND gone IS NULL AND (owner_id IS NULL OR substr(owner_id, 7)::BIGINT % 7 = 0) AS bad FROM e LEFT JOIN d ON d.tx = e.tx AND gone = owner_id),
+ f AS (SELECT tx, bool_or(bad) AS failing FROM x WHERE source = 'cloud' GROUP BY tx),
+ g AS (SELECT x.*, CASE WHEN source = 'cloud' AND failing THEN 'withheld' WHEN bad THEN 'dropped' ELSE 'delivered' END AS gate FROM x LEFT JOIN f USING (tx))"""
+
+
+def _gated(spark, d):
+    users = ingest.graph(spark, d, "User")
+    verdicts = users.select(F.col("id").alias("root"), (F.pmod(mutate.property_value("user_id", "l"), F.lit(7)) != 0).alias("valid"))
+    made = feed.with_source(feed.events(ingest.changes(spark, d, tx_rows=5)), ME)
+    return feed.gated(feed.resolved(made, users), verdicts)
+
+
+@add(GATED + " SELECT source, gate, count(*) AS n FROM g GROUP BY ALL")
+def report_gate(spark, d):
+    return _gated(spark, d).groupBy("source", "gate").agg(F.count(F.lit(1)).alias("n"))
+
+
+@add(GATED + " SELECT tx, count(*) AS events FROM g WHERE gate = 'withheld' GROUP BY tx HAVING bool_or(owner_id IS NULL AND op <> 'delete')")
+def report_missing_owner(spark, d):
+    held = _gated(spark, d).where("gate = 'withheld'").groupBy("tx").agg(F.count(F.lit(1)).alias("events"), F.bool_or(F.expr("owner_id is null and op <> 'delete'")).alias("lost"))
+    return held.where("lost").select("tx", "events")
+
+
+DATED = f"(SELECT c.*, ts FROM {CHANGES} c JOIN (SELECT event_id // 50 AS tx, event_id % 50 AS change_index, ts FROM events) USING (tx, change_index))"
+
+
+def _history(name: str, start: str, end: str) -> None:
+    ranged = f"WITH r AS (SELECT * FROM {DATED} WHERE ts BETWEEN TIMESTAMP '{start}' AND TIMESTAMP '{end}'), t AS (SELECT count(*) AS total FROM r), s AS (SELECT * FROM r ORDER BY tx, change_index LIMIT 512)"
+
+    @add(f"{ranged} SELECT author, part, op, n, total, total > 512 AS truncated FROM (SELECT coalesce(author, '') AS author, part, op, count(*) AS n FROM s GROUP BY ALL ORDER BY 1, 2, 3 LIMIT 64), t", name)
+    def run(spark, d):
+        return feed.history_between(ingest.changes(spark, d), dt.datetime.fromisoformat(start), dt.datetime.fromisoformat(end))
+
+
+_history("history_between", "2024-01-05", "2024-01-06")
+_history("history_truncated", "2024-01-02", "2024-01-29")
+
+
+@add(f"WITH c AS {CHANGES} SELECT tx, change_index::INTEGER AS change_index FROM c WHERE op = 'delete' AND author IS DISTINCT FROM 'me' AND object_uri NOT IN (SELECT object_uri FROM c WHERE op = 'delete' AND author = 'me')")
+def captured_deletions(spark, d):
+    gone = ingest.changes(spark, d).where("op = 'delete'")
+    return feed.not_captured(feed.from_others(gone, ME), gone.where(F.col("author") == ME)).select("tx", "change_index")
+
+
+@add(f"SELECT tx, change_index::INTEGER AS change_index, row_number() OVER (PARTITION BY tx ORDER BY CASE op WHEN 'insert' THEN 0 WHEN 'update' THEN 1 ELSE 2 END, object_uri, change_index)::INTEGER AS position FROM {CHANGES}")
+def change_order(spark, d):
+    return feed.change_order(ingest.changes(spark, d)).select("tx", "change_index", "position")
+
+
+@add("SELECT user_id AS store, identifier FROM (SELECT user_id, event_id AS identifier, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn, event_id % 3 = 0 AS was_empty FROM events WHERE event_type <> 'error') WHERE rn = 1 AND was_empty")
+def initial_import(spark, d):
+    rows = ingest.read(spark, d, "events").select(F.col("user_id").alias("store"), F.col("event_id").alias("identifier"), F.col("ts").alias("at"), (F.col("event_type") != "error").alias("ok"), (F.pmod("event_id", F.lit(3)) == 0).alias("empty"))
+    return feed.initial_imports(rows)
+
+
+# --- projections, stores and survivors -------------------------------------------
+@add("SELECT '1Customerp' || c_custkey AS id, c_name AS name, c_acctbal AS acctbal, CASE WHEN c_acctbal > 5000 THEN 5 ELSE 4 END::INTEGER AS n, CASE WHEN c_acctbal > 5000 THEN '1' END AS vip FROM customer")
+def nodes_property_map(spark, d):
+    m = mutate.properties_map()
+    rows = ingest.graph(spark, d, "Customer").select("id", m.alias("m"))
+    at = lambda k: F.try_element_at("m", F.lit(k))
+    return rows.select("id", at("name").alias("name"), at("acctbal").cast("double").alias("acctbal"), F.size("m").alias("n"), at("vip").alias("vip"))
+
+
+@add("SELECT '[nodeClass: 1, id: 1Nationp' || n_nationkey || ', type: Nation, tags: [], groups: [region' || n_regionkey || '], properties: [name: ' || n_name || ', regionkey: ' || n_regionkey || '], createdDate: nil]' AS line FROM nation UNION ALL SELECT '[nodeClass: 2, id: 2inRegionp' || n_nationkey || ', type: inRegion, tags: [], groups: [], properties: [], subject: 1Nationp' || n_nationkey || ', object: 1Regionp' || n_regionkey || ', createdDate: nil]' FROM nation")
+def node_descriptions(spark, d):
+    return ingest.graph(spark, d, "Nation", "inRegion").select(mutate.description().alias("line"))
+
+
+@add("SELECT (SELECT count(*) FROM nation) AS entities, (SELECT count(*) FROM nation) AS relationships, 0::BIGINT AS actions, false AS empty")
+def store_emptiness(spark, d):
+    return scan.emptiness(ingest.graph(spark, d, "Nation", "inRegion"))
+
+
+@add("SELECT id, survivor FROM (SELECT '1Partp' || p_partkey AS id, first_value('1Partp' || p_partkey) OVER (PARTITION BY p_name ORDER BY p_retailprice DESC, '1Partp' || p_partkey) AS survivor FROM part) WHERE id <> survivor")
+def survivor_chooser(spark, d):
+    dearer = lambda a, b: b if b["price"] > a["price"] else a
+    return dedup.chosen(_parts(spark, d), dedup.field_key(PART_KEY), {"price": mutate.property_value("retailprice", "n")}, dearer)
+
+
+@add("SELECT event_id, event_id AS whole, NULL::BIGINT AS of_text, NULL::BIGINT AS of_fraction, NULL::VARCHAR AS of_number, event_id::DOUBLE AS number, event_type AS word, true AS flag, NULL::BOOLEAN AS no_flag FROM events")
+def json_typed_kinds(spark, d):
+    made = F.concat(F.lit('{"n": '), F.col("event_id").cast("string"), F.lit(', "s": "1", "f": 1.7, "b": true, "w": "'), F.col("event_type"), F.lit('"}'))
+    rows = ingest.read(spark, d, "events").select("event_id", json.parse(made).alias("v"))
+    t = lambda key, kind: json.typed(json.member(F.col("v"), key), kind)
+    return rows.select("event_id", t("n", "long").alias("whole"), t("s", "long").alias("of_text"), t("f", "long").alias("of_fraction"), t("n", "string").alias("of_number"), t("n", "double").alias("number"), t("w", "string").alias("word"), t("b", "boolean").alias("flag"), t("n", "boolean").alias("no_flag"))
+
+
+@add("SELECT event_id, 'x' AS word, '7' AS number, 'true' AS flag, '[1,\"a\"]' AS list, '{\"k\":null}' AS members, true AS nothing FROM events")
+def json_literals(spark, d):
+    show = lambda v: json.stringify(json.literal(v))
+    return ingest.read(spark, d, "events").select("event_id", show("x").alias("word"), show(7).alias("number"), show(True).alias("flag"), show([1, "a"]).alias("list"), show({"k": None}).alias("members"), json.is_null(json.literal(None)).alias("nothing"))
+
+
+@add("SELECT page_id FROM pages WHERE page_id % 3 = 0")
+def fold_other_scripts(spark, d):
+    """Stored text in other scripts is found by the same text as a literal."""
+    word = F.element_at(F.array(*map(F.lit, ("가나", "がく", "ДЁМ", "ΆΛΦΑ", "हिन्दी", "שָׁלוֹם"))), (F.pmod("page_id", F.lit(6)) + 1).cast("int"))
+    rows = ingest.read(spark, d, "pages").where("page_id is not null")
+    nodes = ingest.nodes_of(rows, E, "Word", F.col("page_id"), props=ingest.properties(("w", word, "string"), ("page_id", F.col("page_id"), "int")))
+    # every word that stands at 0 and 3 modulo 6
+    return Search(nodes, E).where(prop("w") == "가나").where(prop("w") == "άλφα").run().select(mutate.property_value("page_id", "l").alias("page_id"))

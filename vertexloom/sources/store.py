@@ -1,10 +1,12 @@
 """Versioned snapshots of a graph, with optimistic transactions.
 
-A store is a folder: ``v=N`` holds a snapshot of the nodes, ``changes`` the
-log of what each version changed, ``_versions/N.json`` publishes version N.
+A store is a folder: ``v=N-S`` holds the snapshot of the nodes that try S wrote,
+``changes/v=N-S`` what it changed, and ``_versions/N.json`` publishes version N
+by naming both, so a version and its changes are there together or not at all.
 Publishing creates that file and fails if it is there, so of two writers that
 started from one version only the first commits.  All access is by Spark or by
-Hadoop's file system, so any store Spark can read will do.
+Hadoop's file system; the store needs one that creates a file only if it is not
+there (HDFS and local disks do, plain object stores do not).
 """
 
 from __future__ import annotations
@@ -80,7 +82,7 @@ class GraphStore:
     def __init__(self, spark: SparkSession, path: str, author: str):
         self.spark, self.path, self.author = spark, path.rstrip("/"), author
         self.files = Files(spark, path)
-        self._busy = False
+        self._busy = self._reading = False
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, *, author: str = "me", preflight: Callable[[], None] | None = None) -> GraphStore:
@@ -103,17 +105,25 @@ class GraphStore:
         return self.spark.read.schema(NODES).parquet(f"{self.path}/{json.loads(self.files.read(f'_versions/{v}.json'))['data']}")
 
     def changes(self, after: int = -1) -> DataFrame:
-        return self.spark.read.schema(CHANGES).parquet(f"{self.path}/changes").where(F.col("tx") > after)
+        """The change rows of the published versions above ``after``."""
+        told = [json.loads(self.files.read(f"_versions/{v}.json")) for v in range(max(after + 1, 0), self.version + 1) if self.files.exists(f"_versions/{v}.json")]
+        logs = [f"{self.path}/{t['changes']}" for t in told if "changes" in t]
+        if not logs:
+            return self.spark.createDataFrame([], CHANGES)
+        return self.spark.read.schema(CHANGES).parquet(*logs).where(F.col("tx") > after)
 
     def _publish(self, nodes: DataFrame, before: DataFrame | None, version: int) -> None:
         stamp = time.time_ns()
         data = f"v={version}-{stamp}"
         nodes.select(*(F.col(f.name).cast(f.dataType) for f in NODES)).write.partitionBy("node_class").parquet(f"{self.path}/{data}")
-        if not self.files.write(f"_versions/{version}.json", json.dumps({"data": data, "author": self.author, "stamp": stamp}), replace=False):
+        told = {"data": data, "author": self.author, "stamp": stamp}
+        if before is not None:
+            told["changes"] = f"changes/{data}"
+            diff(before, self.spark.read.schema(NODES).parquet(f"{self.path}/{data}"), version, self.author).write.parquet(f"{self.path}/{told['changes']}")
+        if not self.files.write(f"_versions/{version}.json", json.dumps(told), replace=False):
             self.files.delete(data)
+            self.files.delete(f"changes/{data}")
             raise StoreChanged(f"version {version} was committed by another writer")
-        log = diff(before, self.nodes(version), version, self.author) if before is not None else self.spark.createDataFrame([], CHANGES)
-        log.write.mode("append").parquet(f"{self.path}/changes")
 
     def transaction(self, body: Callable[[DataFrame], DataFrame]) -> int:
         """Commit what ``body`` makes of a pinned snapshot; the new version.
@@ -135,8 +145,14 @@ class GraphStore:
     save = transaction
 
     def read_snapshot(self, body: Callable[[DataFrame], object]):
-        """What ``body`` makes of one pinned snapshot."""
-        return body(self.nodes(self.version))
+        """What ``body`` makes of one pinned snapshot; not within another one."""
+        if self._reading:
+            raise StoreBusy("a snapshot is being read")
+        self._reading = True
+        try:
+            return body(self.nodes(self.version))
+        finally:
+            self._reading = False
 
     def clear(self) -> int:
         """Delete every node, as a version of its own."""

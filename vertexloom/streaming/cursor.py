@@ -67,15 +67,19 @@ class Feed:
             if self._running:
                 return
             self._running = True
-        try:
-            while True:
-                with self._lock:
-                    if not self._pending:
-                        return
-                    self._pending = False
+        # running ends under the lock that pending is set under, so no call falls between
+        while True:
+            with self._lock:
+                if not self._pending:
+                    self._running = False
+                    return
+                self._pending = False
+            try:
                 self._cycle()
-        finally:
-            self._running = False
+            except BaseException:
+                with self._lock:
+                    self._running = False
+                raise
 
     def _cycle(self) -> None:
         log = self.log()
