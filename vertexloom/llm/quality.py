@@ -21,7 +21,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import slices, small_batches
@@ -38,14 +38,20 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, chars: int) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, chars: int, *, alike: bool = False) -> DataFrame:
     """``place, text, y`` of at most ``rows`` labelled documents outside the
     held-out fifth, in the order of a hash of doc_id, as far as their texts have
     at most ``chars`` characters together.  A repeated row counts once.  The
-    driver sees at most ``rows`` ids and sizes, and no text."""
+    driver sees at most ``rows`` ids and sizes, and no text.  alike: the labels
+    take turns, so a rare one has half of the sample if there are so many."""
     usable = labels.where(~held_out(F.col("doc_id")) & F.col(label).isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
     order = F.xxhash64("doc_id", F.lit(label))
-    chosen = usable.withColumn("_o", order).orderBy("_o", "doc_id").limit(rows)
+    chosen = usable.withColumn("_o", order)
+    if alike:
+        firsts = [chosen.where(F.col("y") == y).orderBy("_o", "doc_id").limit(rows) for y in (0, 1)]
+        turn = F.row_number().over(Window.partitionBy("y").orderBy("_o", "doc_id"))
+        chosen = firsts[0].unionAll(firsts[1]).withColumn("_o", turn * 2 - F.col("y"))
+    chosen = chosen.orderBy("_o", "doc_id").limit(rows)
     crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "utf-8")).alias("crc")
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.length("text"), F.lit(0)).alias("size"), crc).join(F.broadcast(chosen), "doc_id")
     picked, total = {}, 0

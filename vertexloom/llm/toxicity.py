@@ -370,9 +370,9 @@ def _summed(ids: np.ndarray, grads: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, rows: int = 3000, chars: int = 10_000_000) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for each row of ``docs``, by a
     model fitted on at most ``rows`` labelled rows of at most ``chars``
-    characters together."""
+    characters together, toxic and clean ones in turn."""
     small_batches(docs.sparkSession)
-    model = docs.sparkSession.sparkContext.broadcast(fitted(labelled_sample(docs, labels, "toxic", rows, chars), train))
+    model = docs.sparkSession.sparkContext.broadcast(fitted(labelled_sample(docs, labels, "toxic", rows, chars, alike=True), train))
 
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
