@@ -1,18 +1,24 @@
 """Files, configuration, codecs, builders, cursors and lifecycle."""
 
 import datetime as dt
+import json
+from dataclasses import replace
 from urllib.parse import urlparse
 
 import pytest
+from pyspark.sql import functions as F
 
 from vertexloom.functions.archive import NotArchivable, archive, try_archive, try_unarchive, unarchive
 from vertexloom.lifecycle import AlreadyOpen, Bus, Opening, PreflightFailed
+from vertexloom.migrations.ledger import Ledger, LedgerCorrupted
+from vertexloom.migrations.log import MigrationLog
 from vertexloom.operators import build, mutate, traverse
-from vertexloom.sources import files
+from vertexloom.sources import codec, files
 from vertexloom.sources.config import StoreConfiguration, first_named
 from vertexloom.sources.diagnostics import pending_groups, pending_values, traced
 from vertexloom.sources.identity import record_ids
 from vertexloom.sources.memory import MemoryStore
+from vertexloom.sources.store import GraphStore, StoreBusy, open_or_local
 from vertexloom.streaming.cursor import Cursor, Feed
 
 from .test_tools import _log
@@ -113,3 +119,72 @@ def test_lifecycle():
     broken = Opening("p", lambda: 1, preflight=lambda: 1 / 0)
     assert isinstance(broken.ready.exception(), PreflightFailed) and broken.state == "failed"
     Opening("p", lambda: 1).close()
+
+
+def test_migration_log(spark, tmp_path):
+    path = tmp_path / "logs" / "migrations.jsonl"
+    MigrationLog(path).log("started", migrationID="a")
+    assert not path.exists()
+    log = MigrationLog(path, enabled=True)
+    log.log("started", migrationID="a", version=1, phase="postInit", reason=None)
+    log.log("failed", migrationID="a", version=1, error="no\nway")
+    lines = path.read_text().splitlines()
+    assert len(lines) == 2 and all(list(json.loads(x)) == sorted(json.loads(x)) for x in lines)
+    rows = log.read(spark).orderBy("at").collect()
+    assert [(r["event"], r["error"]) for r in rows] == [("started", None), ("failed", "no\nway")] and rows[0]["at"] is not None
+
+
+def test_ledger_publishes_and_is_superseded(tmp_path):
+    ledger, shared = Ledger(tmp_path, "m", 1), []
+    read = lambda: shared[-1] if shared else None
+    assert not ledger.publish(read, shared.append)  # nothing to tell
+    mine = ledger.record("done")
+    assert ledger.publish(read, shared.append) and shared == [mine]
+    assert ledger.publish(read, shared.append) and shared == [mine]  # known already
+    shared.append(replace(mine, generation=9, deviceID="other"))
+    assert not ledger.publish(read, shared.append) and ledger.latest() == shared[-1]
+    tried = []
+    ledger.record("reset")
+    assert not ledger.publish(lambda: None, tried.append) and len(tried) == 3  # never seen again
+
+
+def test_ledger_upgrades_files_without_a_schema_number(tmp_path):
+    old = {"migrationID": "m", "version": 1, "state": "done", "generation": 4, "operationID": "o", "unknown": 1}
+    (tmp_path / "m-v1.state.json").write_text(json.dumps(old))
+    ledger = Ledger(tmp_path, "m", 1)
+    assert (ledger.latest().state, ledger.latest().generation) == ("done", 4)
+    assert ledger.record("reset").generation == 5 and json.loads((tmp_path / "m-v1.state.json").read_text())["schemaVersion"] == 1
+    (tmp_path / "m-v1.state.json").write_text(json.dumps({"schemaVersion": 7}))
+    with pytest.raises(LedgerCorrupted):
+        ledger.latest()
+
+
+def test_purge_refuses_writers_and_falls_back(spark, tmp_path):
+    store = GraphStore.open(spark, f"file://{tmp_path}/local")
+    seen = []
+
+    def drop():
+        seen.append(store.version)
+        with pytest.raises(StoreBusy):
+            store.clear()
+        with pytest.raises(StoreBusy):
+            store.purge(lambda: None)
+        return "gone"
+
+    assert store.purge(drop, pending=lambda nodes: nodes) == "gone" and seen == [1]
+    with pytest.raises(ValueError):
+        store.purge(lambda: int("x"))
+    assert store.clear() == 2  # the gate is open again
+    told = []
+    _, mode = open_or_local(spark, "nowhere://x/y", f"file://{tmp_path}/local", warn=told.append)
+    assert mode == "localFallback" and len(told) == 1
+    assert open_or_local(spark, f"file://{tmp_path}/other", f"file://{tmp_path}/local")[1] == "remote"
+
+
+def test_decoded_properties_of_odd_json(spark):
+    texts = ['{"properties": {"a": null, "f": 1.25, "d": {"__codable_type": "date", "value": "soon"}, "b": {"__codable_type": "data", "value": "%%"}, "m": {"__codable_type": "other"}}}', "{", '{"type": "x"}', None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", codec.decode_properties(F.col("t")).alias("p")).orderBy("i").collect()
+    found = {p["name"]: p for p in rows[0]["p"]}
+    assert {n: p["kind"] for n, p in found.items()} == {"a": "null", "f": "double", "d": "date", "b": "data", "m": "dict"}
+    assert found["f"]["n"] == 1.25 and found["d"]["d"] is None and found["b"]["b"] is None and json.loads(found["m"]["j"]) == {"__codable_type": "other"}
+    assert all(r["p"] == [] for r in rows[1:])

@@ -104,6 +104,15 @@ def merged_metadata(nodes: DataFrame, mapping: DataFrame) -> DataFrame:
     return labels.join(props, "survivor", "left").select(F.col("survivor").alias("id"), F.coalesce("props", F.array().cast(dict(nodes.dtypes)["props"])).alias("props"), "tags", "groups", F.coalesce("copied", F.lit(0)).alias("copied"))
 
 
+def merged_by(nodes: DataFrame, mapping: DataFrame, values: dict[str, Column], merge: dict[str, Column]) -> DataFrame:
+    """(id, ``merge``) of each survivor: the caller's own aggregates over
+    ``values`` of it and its duplicates.  ``is_survivor`` tells them apart."""
+    e = entities(nodes).select("id", *(c.alias(n) for n, c in values.items()))
+    own = e.join(mapping.select(F.col("survivor").alias("id")).distinct(), "id", "left_semi").withColumn("survivor", F.col("id"))
+    pool = own.unionByName(e.join(mapping, "id")).withColumn("is_survivor", F.col("id") == F.col("survivor"))
+    return pool.groupBy("survivor").agg(*(c.alias(n) for n, c in merge.items())).withColumnRenamed("survivor", "id")
+
+
 def rewired_relationships(nodes: DataFrame, mapping: DataFrame) -> DataFrame:
     """Each relationship with both ends: (id, type, subject_id, object_id,
     changed, first); first: it is the one of its (type, ends) that stays."""

@@ -2,25 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.binary import data_kind
 
 
+def decodes(p: Column) -> Column:
+    """Whether the slot of a property's kind holds a value; bytes of any
+    content do, and null needs none."""
+    kind = p["kind"]
+    slot = F.when(kind.isin("string", "url"), p["s"].isNotNull()).when(kind.isin("int", "double", "bool"), p["n"].isNotNull()).when(kind == "date", p["d"].isNotNull()).when(kind.isin("array", "dict"), p["j"].isNotNull()).when(kind == "data", F.lit(True))
+    return kind.isNull() | (kind == "null") | F.coalesce(slot, F.lit(False))
+
+
 def payloads(nodes: DataFrame, sample: int | None = None) -> DataFrame:
     """(family, name, kind, outcome, data_kind) of every property; ``sample``
     limits the properties of each family, as a diagnostic."""
-    p = nodes.select("node_class", F.explode("props").alias("p")).select("node_class", "p.*")
+    p = nodes.select("node_class", F.explode("props").alias("p")).select("node_class", "p.*", decodes(F.col("p")).alias("_ok"))
     if sample is not None:
         parts = [p.where(f"node_class = {c}").limit(sample) for c in (1, 3, 2)]
         p = parts[0].union(parts[1]).union(parts[2])
     kind = data_kind(F.col("b"))
     raw = kind.isin("PNG (raw)", "PDF (raw)", "JPEG (raw)")
-    # a payload decodes if the slot of its kind holds a value; bytes of any content do
-    slot = F.when(F.col("kind").isin("string", "url"), F.col("s").isNotNull()).when(F.col("kind").isin("int", "double", "bool"), F.col("n").isNotNull()).when(F.col("kind") == "date", F.col("d").isNotNull()).when(F.col("kind").isin("array", "dict"), F.col("j").isNotNull())
     of_data = F.when(F.col("b").isNull(), "nil").when(raw, "raw_ok").otherwise("ok")
-    outcome = F.when(F.col("kind").isNull() | (F.col("kind") == "null"), "nil").when(F.col("kind") == "data", of_data).when(F.coalesce(slot, F.lit(False)), "ok").otherwise("failure")
+    outcome = F.when(F.col("kind").isNull() | (F.col("kind") == "null"), "nil").when(F.col("kind") == "data", of_data).when(F.col("_ok"), "ok").otherwise("failure")
     return p.select(F.col("node_class").alias("family"), "name", "kind", outcome.alias("outcome"), F.when(F.col("b").isNotNull(), kind).alias("data_kind"))
 
 

@@ -2,7 +2,8 @@
 
 A validated entity is followed to its relationships and actions, and these to
 their ends, never further.  The result is a table of references, each absent
-(nothing is referred to), materialized or unresolved (the target is missing).
+(nothing is referred to), materialized or unresolved (the target is missing, or a
+property's payload does not decode).
 """
 
 from __future__ import annotations
@@ -13,23 +14,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.lineage import cut
+from .scan import decodes
 from .traverse import actions, relationships
 
 
 def _details(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """References of the nodes of ``roots(root, id)`` to their own details."""
-    own = roots.join(nodes.select("id", "groups", "names", "tags"), "id")
+    own = roots.join(nodes.select("id", "groups", "names", "broken", "tags"), "id")
     parts = []
     for name, items in (("groupSet", "groups"), ("propertySet", "names"), ("tagSet", "tags")):
-        found = own.select("root", F.col("id").alias("source"), F.lit(name).alias("relationship"), F.explode_outer(items).alias("destination"))
-        parts.append(found.withColumn("state", F.when(F.col("destination").isNull(), "absent").otherwise("materialized")))
+        found = own.select("root", F.col("id").alias("source"), F.lit(name).alias("relationship"), F.explode_outer(items).alias("destination"), "broken")
+        lost = F.coalesce(F.array_contains("broken", F.col("destination")), F.lit(False)) if name == "propertySet" else F.lit(False)
+        parts.append(found.withColumn("state", F.when(F.col("destination").isNull(), "absent").when(lost, "unresolved").otherwise("materialized")).drop("broken"))
     return parts[0].union(parts[1]).union(parts[2])
 
 
 def references(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, source, relationship, destination, state) for each id of ``roots(id)``."""
     # every branch below reads these few columns, so they are made once
-    nodes = cut(nodes.select("id", "node_class", "type", "subject_id", "object_id", "subject_ids", "object_ids", "groups", "tags", F.transform("props", lambda p: p["name"]).alias("names")))
+    nodes = cut(nodes.select("id", "node_class", "type", "subject_id", "object_id", "subject_ids", "object_ids", "groups", "tags", F.transform("props", lambda p: p["name"]).alias("names"), F.transform(F.filter("props", lambda p: ~decodes(p)), lambda p: p["name"]).alias("broken")))
     roots = roots.select("id").distinct()
     present = nodes.select("id", "node_class")
     rooted = roots.join(present, "id", "left")

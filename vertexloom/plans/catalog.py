@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import binary, json, text
+from ..migrations import ledger
 from ..operators import dedup, merge, mutate, predicate, scan, traverse, validate
 from ..operators.predicate import exists, has, member_of, prop, type_
 from ..operators.search import Search
 from ..schema import NodeClass
-from ..sources import ingest
+from ..sources import codec, ingest
 from ..streaming import feed
 
 E, R, A = NodeClass.ENTITY, NodeClass.RELATIONSHIP, NodeClass.ACTION
@@ -553,9 +554,28 @@ def lifecycle_dedupe(spark, d):
 
 @add("SELECT user_id, generation, device, op_id FROM (SELECT user_id, event_id // 10 AS generation, event_type AS device, event_id AS op_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id // 10 DESC, event_type DESC, event_id::VARCHAR DESC) AS rn FROM events) WHERE rn = 1")
 def ledger_latest(spark, d):
-    rows = ingest.read(spark, d, "events").select("user_id", F.floor(F.col("event_id") / 10).cast("long").alias("generation"), F.col("event_type").alias("device"), F.col("event_id").alias("op_id"))
-    newest = rows.groupBy("user_id").agg(F.max(F.struct("generation", "device", F.col("op_id").cast("string").alias("op"), "op_id")).alias("m"))
-    return newest.select("user_id", "m.generation", "m.device", "m.op_id")
+    return ledger.newest(_entries(spark, d)).select(F.col("migrationID").alias("user_id"), "generation", F.col("deviceID").alias("device"), F.col("operationID").cast("long").alias("op_id"))
+
+
+def _entries(spark, d):
+    """Events as entries of a ledger for each user."""
+    e = ingest.read(spark, d, "events")
+    state = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "done").otherwise("started")
+    own = {"migrationID": F.col("user_id"), "version": F.lit(1), "state": state, "deviceID": F.col("event_type"), "operationID": F.col("event_id").cast("string"), "generation": F.floor(F.col("event_id") / 10).cast("long")}
+    return e.select(*(c.alias(n) for n, c in own.items()))
+
+
+STATE = "CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'done' ELSE 'started' END"
+
+
+@add(f"SELECT user_id AS \"migrationID\", 1 AS version, count(*) FILTER ({STATE} = 'started') AS attempts, count(*) AS entries FROM events GROUP BY user_id")
+def ledger_attempts(spark, d):
+    return ledger.attempts(_entries(spark, d))
+
+
+@add(f"SELECT {STATE} AS state, count(*) AS n, min(event_id // 10) AS first, max(event_id // 10) AS last FROM events GROUP BY 1")
+def ledger_compaction(spark, d):
+    return ledger.compaction(_entries(spark, d))
 
 
 # --- states, gates and bounded history ------------------------------------------
@@ -676,3 +696,78 @@ def fold_other_scripts(spark, d):
     nodes = ingest.nodes_of(rows, E, "Word", F.col("page_id"), props=ingest.properties(("w", word, "string"), ("page_id", F.col("page_id"), "int")))
     # every word that stands at 0 and 3 modulo 6
     return Search(nodes, E).where(prop("w") == "가나").where(prop("w") == "άλφα").run().select(mutate.property_value("page_id", "l").alias("page_id"))
+
+
+# --- typed decoding, payload errors, owners and orders ---------------------------
+def _typed(spark, d):
+    """Events as nodes with a property of every kind."""
+    e = ingest.read(spark, d, "events")
+    n, word = F.col("event_id"), F.col("event_type")
+    listed = F.concat(F.lit("["), n.cast("string"), F.lit(',"x"]'))
+    props = ingest.properties(("n", n, "int"), ("half", n + 0.5, "double"), ("flag", n % 2 == 0, "bool"), ("word", word, "string"), ("at", F.col("ts").cast("timestamp_ntz"), "date"), ("raw", word.cast("binary"), "data"), ("site", F.concat(F.lit("http://h/"), word), "url"), ("list", listed, "array"), ("members", F.lit('{"k":1}'), "dict"))
+    return ingest.nodes_of(e, A, "Typed", n, props=props)
+
+
+@add("SELECT '3Typedp' || event_id AS id, event_id AS n, event_id + 0.5::DOUBLE AS half, (event_id % 2 = 0)::INTEGER::BIGINT AS flag, event_type AS word, ts::TIMESTAMP AS at, hex(event_type::BLOB) AS raw, 'http://h/' || event_type AS site, '[' || event_id || ',\"x\"]' AS list, '{\"k\":1}' AS members, 'array bool data date dict double int string url' AS kinds FROM events")
+def decode_typed(spark, d):
+    """What is written as JSON comes back with its kinds."""
+    back = _typed(spark, d).select("id", codec.decode_properties(codec.encode()).alias("props"))
+    value = mutate.property_value
+    slots = {"n": "l", "half": "n", "flag": "l", "word": "s", "at": "d", "site": "s", "list": "j", "members": "j"}
+    kinds = F.array_join(F.array_sort(F.transform("props", lambda p: p["kind"])), " ")
+    return back.select("id", *(value(name, slot).alias(name) for name, slot in slots.items()), F.hex(value("raw", "b")).alias("raw"), kinds.alias("kinds"))
+
+
+@add("SELECT '1Nationp' || n_nationkey AS root, n_nationkey % 5 <> 0 AS valid, CASE WHEN n_nationkey % 5 = 0 THEN 1 ELSE 0 END::BIGINT AS unresolved FROM nation")
+def validate_payloads(spark, d):
+    """A property whose payload does not decode is an unresolved reference."""
+    nations = ingest.graph(spark, d, "Nation")
+    nodes = mutate.set_property(nations, ingest.property_("broken", F.lit(None), "int"), F.pmod(F.regexp_extract("id", r"(\d+)$", 1).cast("long"), F.lit(5)) == 0)
+    return validate.verdicts(validate.references(nodes, nodes.select("id"))).select("root", "valid", "unresolved")
+
+
+@add("SELECT '1Partp' || id AS id, most, members, own FROM (SELECT arg_min(p_partkey, '1Partp' || p_partkey) AS id, max(p_retailprice) AS most, count(*) AS members, arg_min(p_retailprice, '1Partp' || p_partkey) AS own FROM part GROUP BY p_name HAVING count(*) > 1)")
+def metadata_merger(spark, d):
+    nodes = _parts(spark, d)
+    merge_ = {"most": F.max("price"), "members": F.count(F.lit(1)), "own": F.max(F.when(F.col("is_survivor"), F.col("price")))}
+    return dedup.merged_by(nodes, dedup.replacements(nodes, dedup.field_key(PART_KEY)), {"price": mutate.property_value("retailprice", "n")}, merge_)
+
+
+@add(f"SELECT tx, change_index::INTEGER AS change_index, object_uri FROM {CHANGES} JOIN {KINDS} USING (op, family, part) WHERE op = 'delete' AND owner_id IS NULL")
+def unmaterialized_deletions(spark, d):
+    return feed.unmaterialized(feed.events(ingest.changes(spark, d)), ingest.graph(spark, d, "User")).select("tx", "change_index", "object_uri")
+
+
+@add(f"SELECT tx, ts::TIMESTAMP AS ts, n AS changes, row_number() OVER (ORDER BY tx, ts) - 1 AS position FROM (SELECT tx, min(ts) AS ts, count(*) AS n FROM {DATED} GROUP BY tx)")
+def transaction_order(spark, d):
+    return feed.transactions(ingest.changes(spark, d))
+
+
+@add(f"SELECT tx, change_index::INTEGER AS change_index, CASE WHEN owner_id IS NOT NULL THEN 'User' END AS type FROM {CHANGES}")
+def owner_lookup(spark, d):
+    """The node of a tag, group or property; none if there is no owner."""
+    details = ingest.changes(spark, d).select("tx", "change_index", "owner_id")
+    return traverse.owners(ingest.graph(spark, d, "User"), details).select("tx", "change_index", F.col("owner_type").alias("type"))
+
+
+@add("SELECT DISTINCT event_type, lower(lpad(to_hex((list_reduce(list_transform(string_split(event_type, ''), lambda c: ascii(c)::HUGEINT), lambda h, c: (xor(h, c) * 1099511628211) % 18446744073709551616, 14695981039346656037::HUGEINT))::UBIGINT), 16, '0')) AS hash FROM events")
+def fnv_hash(spark, d):
+    return ingest.read(spark, d, "events").select("event_type", text.fnv1a_column(F.col("event_type")).alias("hash")).distinct()
+
+
+@add("SELECT event_id, '[' || event_id || ',\"new\"]' AS list, '{\"k\":' || event_id || '}' AS members, NULL::VARCHAR AS scalar FROM events")
+def json_set_and_serialize(spark, d):
+    rows = ingest.read(spark, d, "events")
+    n = F.col("event_id").cast("string")
+    listed = json.set_item(F.array(n, F.lit("old")), 1, F.lit("new"))
+    made = F.concat(F.lit("["), F.get(listed, F.lit(0)), F.lit(',"'), F.get(listed, F.lit(1)), F.lit('"]'))
+    members = json.set_member(F.create_map(F.lit("k"), F.lit("0")), "k", n)
+    shown = F.concat(F.lit('{"k":'), F.try_element_at(members, F.lit("k")), F.lit("}"))
+    out = lambda c: json.serialize(json.parse(c))
+    return rows.select("event_id", out(made).alias("list"), out(shown).alias("members"), out(n).alias("scalar"))
+
+
+@add("SELECT '1Nationp' || n_nationkey AS id, CASE WHEN n_regionkey = 1 THEN TIMESTAMP '2001-02-03 04:05:06' END AS created_date FROM nation")
+def set_created_date(spark, d):
+    nodes = ingest.graph(spark, d, "Nation")
+    return mutate.set_created_date(nodes, F.lit("2001-02-03 04:05:06").cast("timestamp_ntz"), mutate.property_value("regionkey", "l") == 1).select("id", "created_date")

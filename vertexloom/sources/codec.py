@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.json import kind_of
+from ..functions.text import fold_column
+from ..schema import PROPERTY
+
 SHAPE = "type string, tags array<string>, groups array<string>, properties map<string, string>, createdDate timestamp_ntz"
 #: Key that marks a date, binary or url value, beside ``value``.
 TAG = "__codable_type"
@@ -50,3 +54,38 @@ def decode(rows: DataFrame, column: str) -> DataFrame:
     read = F.from_json(column, SHAPE)
     none = F.array().cast("array<string>")
     return rows.withColumn("_n", read).select(*rows.columns, F.col("_n.type").alias("type"), F.coalesce("_n.tags", none).alias("tags"), F.coalesce("_n.groups", none).alias("groups"), F.col("_n.properties").alias("properties"), F.coalesce("_n.createdDate", F.current_timestamp().cast("timestamp_ntz")).alias("created_date"))
+
+
+def _decoded(name: Column, value: Column) -> Column:
+    """One property of a JSON value, with the kind that it was written as."""
+    own = lambda path, kind: F.try_variant_get(value, path, kind)
+    found = kind_of(value)
+    tag = F.when(found == "object", own(f"$.{TAG}", "string"))
+    tagged = F.coalesce(tag.isin("date", "data", "url"), F.lit(False))
+    kind = F.when(tagged, tag).when(found == "object", "dict").otherwise(F.coalesce(found, F.lit("null")))
+    number = F.when(found == "bool", own("$", "boolean").cast("double")).when(found.isin("int", "double"), own("$", "double"))
+    text = F.when(kind == "url", own("$.value", "string")).when(kind == "string", own("$", "string"))
+    slots = {
+        "name": name,
+        "name_fold": fold_column(name),
+        "kind": kind,
+        "s": text,
+        "s_fold": fold_column(text),
+        "n": number,
+        "l": F.when(found == "bool", own("$", "boolean").cast("long")).when(found == "int", own("$", "long")),
+        "d": F.when(kind == "date", F.timestamp_micros(F.round(own("$.value", "double") * 1e6).cast("long"))),
+        "b": F.when(kind == "data", F.try_to_binary(own("$.value", "string"), F.lit("base64"))),
+        "j": F.when(kind.isin("array", "dict"), F.to_json(value)),
+        "app_data_version": F.lit(0),
+    }
+    return F.struct(*(slots[f.name].cast(f.dataType).alias(f.name) for f in PROPERTY))
+
+
+def decode_properties(text: Column) -> Column:
+    """The properties of a node's JSON with their kinds: tagged dates, binary
+    values and urls, strings, whole numbers, fractions, truth values, arrays,
+    dictionaries and nulls.  Invalid JSON has none; a tagged value that does
+    not decode has empty slots."""
+    members = F.try_variant_get(F.try_parse_json(text), "$.properties", "map<string, variant>")
+    made = F.transform(F.map_entries(members), lambda e: _decoded(e["key"], e["value"]))
+    return F.coalesce(made, F.array().cast("array<" + PROPERTY.simpleString() + ">"))

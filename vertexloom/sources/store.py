@@ -165,6 +165,19 @@ class GraphStore:
         before(self.path)
         self.files.delete("")
 
+    def purge(self, drop: Callable[[], object], pending: Callable[[DataFrame], DataFrame] | None = None):
+        """Drop the remote copy by ``drop``, one purge at a time: what is
+        pending is committed first, and transactions are refused until the end."""
+        if self._busy:
+            raise StoreBusy("a transaction or a purge is under way")
+        if pending is not None:
+            self.transaction(pending)
+        self._busy = True
+        try:
+            return drop()
+        finally:
+            self._busy = False
+
     def export(self, to: str) -> None:
         """Copy the newest snapshot to a folder of its own."""
         self.nodes().write.mode("errorifexists").parquet(to)
@@ -217,3 +230,14 @@ def diff(before: DataFrame, after: DataFrame, tx: int, author: str | None) -> Da
     side = F.coalesce("n", "o")
     made = both.withColumn("op", op).where("op is not null").withColumn("x", side)
     return made.select(F.lit(tx).cast("long").alias("tx"), F.current_timestamp().cast("timestamp_ntz").alias("ts"), F.lit(author).cast("string").alias("author"), "op", F.col("x.family").alias("family"), F.col("x.part").alias("part"), "object_uri", F.col("x.owner_id").alias("owner_id"), F.col("x.name").alias("name"), F.col("x.value").alias("value"), F.pmod(F.hash("object_uri"), F.lit(1 << 30)).cast("int").alias("change_index"))
+
+
+def open_or_local(spark: SparkSession, remote: str, local: str, *, author: str = "me", warn: Callable[[Exception], None] | None = None) -> tuple[GraphStore, str]:
+    """The store at ``remote`` and ``remote``; if that can't be opened, the one
+    at ``local`` and ``localFallback``, after ``warn`` was told why."""
+    try:
+        return GraphStore.open(spark, remote, author=author), "remote"
+    except Exception as error:  # whatever the file system or Spark raises
+        if warn is not None:
+            warn(error)
+        return GraphStore.open(spark, local, author=author), "localFallback"

@@ -150,6 +150,18 @@ def resolved(made: DataFrame, nodes: DataFrame) -> DataFrame:
     return found.withColumn("problem", F.when(F.col("owner_type").isNotNull(), None).when(F.col("op") == "delete", "unmaterialized").otherwise("missing_owner"))
 
 
+def unmaterialized(made: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Deletions of details whose owners are gone, in the order of their URIs."""
+    return resolved(made, nodes).where("problem = 'unmaterialized'").select(made.columns).orderBy("object_uri", "tx", "change_index")
+
+
+def transactions(changes: DataFrame) -> DataFrame:
+    """(tx, ts, changes, position): transactions by number, time and place of
+    their first change, numbered from 0."""
+    found = changes.groupBy("tx").agg(F.min("ts").alias("ts"), F.min("change_index").alias("_first"), F.count(F.lit(1)).alias("changes"))
+    return numbered(found, ["tx", "ts", "_first"], "position").drop("_first")
+
+
 def reports(made: DataFrame) -> DataFrame:
     """(report_id, source, events, first_rank, last_rank) of each transaction."""
     return made.groupBy(F.col("tx").alias("report_id"), "source").agg(F.count(F.lit(1)).alias("events"), F.min("rank").alias("first_rank"), F.max("rank").alias("last_rank"))
