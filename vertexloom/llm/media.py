@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, small_batches
 from .textvec import mix
 
 GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
@@ -205,6 +205,7 @@ def store_media(docs: DataFrame, *, unit: int = 576, broadcast_rows: int = 500_0
     (each repeated chunk once: digest, bytes).
     """
     spark = docs.sparkSession
+    small_batches(spark)
     repeated = materialize(docs.select("text").mapInArrow(_digests(unit), "digest binary, n long").groupBy("digest").agg(F.sum("n").alias("n")).where("n > 1").select("digest"))
     source, told = docs.select("doc_id", "text"), None
     if repeated.count() <= broadcast_rows:
